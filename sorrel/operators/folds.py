@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from sorrel.operators import naive_bayes as nb
-from sorrel.operators.instances import label_list
+from sorrel.operators.instances import in_order
 from sorrel.operators.ngrams import KEY
 from sorrel.operators.weights import prune_top_k
 from sorrel.plans.staging import assign_position, skew_join, stage
@@ -46,24 +46,22 @@ class FoldedBayes:
     """
 
     def __init__(self, features, labels, folds, prune: int | None = 5000, fit_prior: bool = False):
-        self.labels = label_list(labels)
-        self.fit_prior = fit_prior
-        k = len(self.labels)
         keyed = labels.select("doc_id", "label").join(folds.select("doc_id", "fold"), "doc_id")
         self.docs = stage(keyed, "folds")
         sizes = self.docs.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()
         self.folds = sorted({r["fold"] for r in sizes if r["fold"] >= 0})
+        self.labels = in_order({r["label"] for r in sizes})
+        k = len(self.labels)
         self.rows = stage(features.select("doc_id", *KEY, "value").join(self.docs, "doc_id"), "rows")
-        cells = self.rows.groupBy("fold", "label", *KEY).agg(F.sum("value").alias("frequency"), F.count("*").alias("df"))
-        own = stage(nb.count_array(cells, self.labels, "frequency", ["fold", *KEY]), "own")
+        own = stage(nb.label_counts(self.rows, self.labels, ["fold", *KEY]), "own")
         sums = F.array(*[F.sum(F.col("counts")[i]) for i in range(k)])
-        whole = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
+        whole = F.col("total")
         per_fold = F.array(*[F.sum(F.when(F.col("fold") == f, whole).otherwise(0.0)) for f in self.folds])
         corpus = stage(
             own.groupBy(*KEY).agg(sums.alias("all"), F.sum("df").alias("df"), F.sum(whole).alias("sum"), per_fold.alias("held")),
             "corpus",
         )
-        tests = own.filter("fold >= 0")
+        tests = own.filter("fold >= 0").select("fold", *KEY, "df", "total", "counts")
         left = F.zip_with("all", F.coalesce("counts", nb._array([0.0] * k)), lambda a, c: a - c)
         if prune:
             tops = []
@@ -79,7 +77,7 @@ class FoldedBayes:
             tokens = {r["fold"]: ([r[f"t{i}"] for i in range(k)], r["v"]) for r in sums.collect()}
         else:
             joined = tests.join(corpus.select(*KEY, "all", "sum"), KEY)
-            known = F.col("sum") > F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
+            known = F.col("sum") > F.col("total")
             model = stage(joined.filter(known).select("fold", *KEY, "df", left.alias("counts")), "model")
             top = corpus.agg(
                 *[F.sum(F.col("all")[i]).alias(f"t{i}") for i in range(k)],

@@ -9,10 +9,15 @@ from pyspark.sql import types as T
 from sorrel.plans.staging import stage
 
 
+def in_order(labels) -> list:
+    """Labels in the order that Spark sorts them."""
+    return sorted(labels, key=lambda v: v.encode() if isinstance(v, str) else v)
+
+
 def label_list(labels: DataFrame, column: str = "label") -> list:
     """Sorted distinct labels: the only label data that the driver holds."""
     rows = labels.select(column).distinct().collect()
-    return sorted((r[0] for r in rows if r[0] is not None), key=lambda v: v.encode() if isinstance(v, str) else v)
+    return in_order(r[0] for r in rows if r[0] is not None)
 
 
 def label_table(labels: DataFrame, order: list | None = None) -> DataFrame:

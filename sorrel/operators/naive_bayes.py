@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sorrel.operators.instances import label_list
+from sorrel.operators.instances import in_order
 from sorrel.operators.ngrams import KEY
 from sorrel.plans.staging import rank_within, skew_join, stage
 
@@ -22,7 +22,7 @@ class NaiveBayes:
     labels: list
     label_docs: list[int]
     label_tokens: list[float]
-    table: DataFrame  # ftype, feature, df, counts array<double>
+    table: DataFrame  # ftype, feature, df, total, counts array<double>
     vocab_size: int
     alpha: float = 1.0
     fit_prior: bool = False
@@ -53,16 +53,23 @@ def log_weights(counts: Column, alpha: float, denominators: list[float]) -> Colu
     return F.zip_with(counts, _array(denominators), lambda c, d: F.log(c + F.lit(alpha)) - d)
 
 
-def count_array(by_label: DataFrame, labels: list, value: str, key: list[str]) -> DataFrame:
-    """``(key, label, value)`` to one row per key with an array by label code.
+def label_counts(rows: DataFrame, labels: list, key: list[str]) -> DataFrame:
+    """``rows(key, label, value)`` to one row per key: df, total, counts by label code.
 
-    A key collects at most one entry per label.
+    With few labels one hash aggregate does it; with many, a key first gets at
+    most one entry per label and these are then gathered.
     """
-    cells = F.map_from_entries(F.collect_list(F.struct("label", value)))
-    rows = by_label.groupBy(*key).agg(cells.alias("_m"), F.sum("df").cast("long").alias("df"))
+    if len(labels) <= WIDE_LABELS:
+        cells = [F.sum(F.when(F.col("label") == F.lit(v), F.col("value")).otherwise(F.lit(0.0))) for v in labels]
+        return rows.groupBy(*key).agg(
+            F.count("*").alias("df"), F.sum("value").alias("total"), F.array(*cells).alias("counts")
+        )
+    by_label = rows.groupBy("label", *key).agg(F.sum("value").alias("_n"), F.count("*").alias("_df"))
+    entries = F.map_from_entries(F.collect_list(F.struct("label", "_n")))
+    sums = by_label.groupBy(*key).agg(F.sum("_df").alias("df"), F.sum("_n").alias("total"), entries.alias("_m"))
     order = F.array(*[F.lit(v) for v in labels])
     counts = F.transform(order, lambda v: F.coalesce(F.element_at("_m", v), F.lit(0.0)))
-    return rows.select(*key, "df", counts.alias("counts"))
+    return sums.select(*key, "df", "total", counts.alias("counts"))
 
 
 def fit_naive_bayes(
@@ -75,10 +82,9 @@ def fit_naive_bayes(
     """Counts per (label, feature); zero cells are implied."""
     key = ["doc_id", "copy"] if "copy" in labels.columns else ["doc_id"]
     docs = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    order = label_list(labels)
+    order = in_order(docs)
     joined = features.join(labels.select(*key, "label"), key)
-    by_label = joined.groupBy("label", *KEY).agg(F.sum("value").alias("frequency"), F.count("*").alias("df"))
-    table = stage(count_array(by_label, order, "frequency", KEY), "nb_counts")
+    table = stage(label_counts(joined, order, KEY), "nb_counts")
     sums = table.agg(F.count("*").alias("v"), *[F.sum(F.col("counts")[i]).alias(f"t{i}") for i in range(len(order))]).first()
     tokens = [float(sums[f"t{i}"] or 0.0) for i in range(len(order))]
     size = sums["v"] if vocab_size is None else vocab_size

@@ -70,14 +70,17 @@ def label_performance(pairs: DataFrame, labels: DataFrame | None = None, by: lis
     return out
 
 
-def micro_performance(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The same rates over the pooled cells of all labels."""
-    by = by or []
-    cells = _cells(confusion_matrix(pairs, by), by)
+def micro_from_matrix(matrix: DataFrame, by: list[str]) -> DataFrame:
+    """Rates over the pooled cells of all labels, from confusion counts."""
+    cells = _cells(matrix, by)
     pooled = cells.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")], F.max("n").alias("tot"))
     return pooled.select(*by, F.lit("micro").alias("label"), *_rates(), "tot", F.col("tot").alias("clf"), F.col("tp").alias("cor"))
 
 
+def micro_performance(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return micro_from_matrix(confusion_matrix(pairs, by), by or [])
+
+
 def performance(pairs: DataFrame, labels: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """Label rows and the pooled row."""
     per = label_performance(pairs, labels, by)

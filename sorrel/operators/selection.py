@@ -185,14 +185,14 @@ def _column_sums(features: DataFrame, n_docs: int) -> DataFrame:
     v = F.col("value")
     sums = features.groupBy(*KEY).agg(F.count("*").alias("df"), F.sum(v).alias("sx"), F.sum(v * v).alias("sxx"))
     # A selection holds few features; they are numbered by name.
-    return sums.withColumn("fid", F.row_number().over(Window.orderBy(*KEY)) - 1)
+    return sums.withColumn("fid", (F.row_number().over(Window.orderBy(*KEY)) - 1).cast("long"))
 
 
 def _pair_r(table: DataFrame, sums: DataFrame, size: int, n_docs: int) -> DataFrame:
     left = table.select(F.col("fid").alias("i"), *[F.col(c).alias(f"{c}_i") for c in KEY + ["sx", "sxx"]])
     right = table.select(F.col("fid").alias("j"), *[F.col(c).alias(f"{c}_j") for c in KEY + ["sx", "sxx"]])
     # Every later column, as the matrix itself is the result.
-    pairs = left.withColumn("j", F.explode(F.when(F.col("i") < size - 1, F.sequence(F.col("i") + 1, F.lit(size - 1)))))
+    pairs = left.withColumn("j", F.explode(_later(F.col("i"), size)))
     pairs = pairs.join(F.broadcast(right), "j").join(sums, ["i", "j"], "left")
     n = F.lit(float(n_docs))
     r = stats.pearson(n, F.col("sx_i"), F.col("sx_j"), F.col("sxx_i"), F.col("sxx_j"), F.coalesce("sxy", F.lit(0.0)))
@@ -212,6 +212,7 @@ def pair_su(features: DataFrame, table: DataFrame, n_docs: int) -> DataFrame:
     """
     own = _numbered(features, table)
     levels = own.groupBy("fid", "value").agg(F.count("*").alias("n"))
+    # The lower level number belongs to the lower feature number.
     levels = stage(levels.withColumn("lid", F.row_number().over(Window.orderBy("fid", "value")) - 1), "levels")
     size = levels.count()
     coded = own.join(F.broadcast(levels.select("fid", "value", "lid")), ["fid", "value"])
@@ -236,14 +237,21 @@ def pair_su(features: DataFrame, table: DataFrame, n_docs: int) -> DataFrame:
     per = stage(per.withColumn("h", F.log2(n) - (F.col("cx") + stats.clog(n - F.col("nz"))) / n), "single")
     left = per.select(F.col("fid").alias("p"), *[F.col(c).alias(c + "_p") for c in ("nz", "cx", "h")])
     right = per.select(F.col("fid").alias("q"), *[F.col(c).alias(c + "_q") for c in ("nz", "cx", "h")])
-    joined = inner.join(rest("i", "rp"), ["p", "q"]).join(rest("j", "rq"), ["p", "q"])
-    joined = joined.join(F.broadcast(left), "p").join(F.broadcast(right), "q")
-    none = n - F.col("nz_p") - F.col("nz_q") + F.col("both")
-    c_xy = F.col("c") + F.col("cx_p") + F.col("rp") + F.col("cx_q") + F.col("rq") + stats.clog(none)
+    # Features that never meet share information too, so every later one counts.
+    every = left.withColumn("q", F.explode(_later(F.col("p"), table.count())))
+    joined = every.join(F.broadcast(right), "q")
+    for part in (inner, rest("i", "rp"), rest("j", "rq")):
+        joined = joined.join(part, ["p", "q"], "left")
+    joined = joined.fillna(0).select("*", (n - F.col("nz_p") - F.col("nz_q") + F.col("both")).alias("none"))
+    c_xy = F.col("c") + F.col("cx_p") + F.col("rp") + F.col("cx_q") + F.col("rq") + stats.clog(F.col("none"))
     mi = F.col("h_p") + F.col("h_q") - (F.log2(n) - c_xy / n)
     return joined.select("p", "q", stats.ratio(2 * mi, F.col("h_p") + F.col("h_q")).alias("su"))
 
 
+def _later(number, size: int):
+    return F.when(number < size - 1, F.sequence(number + 1, F.lit(size - 1).cast("long")))
+
+
 # ------------------------------------------------------------------ the filters
 
 
@@ -267,8 +275,6 @@ def fcbf(features: DataFrame, labels: DataFrame, threshold: float = 0.0) -> Data
         pairs = pair_su(features, table, n_docs).select(
             F.least("p", "q").alias("better"), F.greatest("p", "q").alias("worse"), scores.alias("su")
         )
-        # Features that never meet still share information; they are added here.
-        pairs = _with_disjoint(pairs, features, table, n_docs)
         hits = pairs.join(F.broadcast(weight), "worse").filter(F.col("su") >= F.col("bar"))
         drops = defaultdict(list)
         for r in hits.select("better", "worse").collect():
@@ -282,25 +288,6 @@ def fcbf(features: DataFrame, labels: DataFrame, threshold: float = 0.0) -> Data
     return spark.createDataFrame(rows, "ftype string, feature string, weight double, rank int")
 
 
-def _with_disjoint(pairs: DataFrame, features: DataFrame, table: DataFrame, n_docs: int) -> DataFrame:
-    """Add SU of pairs without a shared document, from their single counts."""
-    own = _numbered(features, table)
-    levels = own.groupBy("fid", "value").agg(F.count("*").alias("n"))
-    per = levels.groupBy("fid").agg(F.sum("n").alias("nz"), F.sum(stats.clog(F.col("n"))).alias("cx"))
-    per = stage(per, "single")
-    size = table.count()
-    n = F.lit(float(n_docs))
-    left = per.select(F.col("fid").alias("better"), F.col("nz").alias("nz_p"), F.col("cx").alias("cx_p"))
-    right = per.select(F.col("fid").alias("worse"), F.col("nz").alias("nz_q"), F.col("cx").alias("cx_q"))
-    every = left.withColumn("worse", F.explode(F.when(F.col("better") < size - 1, F.sequence(F.col("better") + 1, F.lit(size - 1)))))
-    apart = every.join(pairs, ["better", "worse"], "left_anti").join(F.broadcast(right), "worse")
-    h = lambda c, z: F.log2(n) - (c + stats.clog(n - z)) / n
-    hp, hq = h(F.col("cx_p"), F.col("nz_p")), h(F.col("cx_q"), F.col("nz_q"))
-    hpq = F.log2(n) - (F.col("cx_p") + F.col("cx_q") + stats.clog(n - F.col("nz_p") - F.col("nz_q"))) / n
-    su = stats.rounded(stats.ratio(2 * (hp + hq - hpq), hp + hq), 12)
-    return pairs.unionByName(apart.select("better", "worse", su.alias("su")))
-
-
 def pearson_relevance(features: DataFrame, numeric: DataFrame) -> DataFrame:
     """Strength of each feature: absolute r with the label, 0.0 where undefined."""
     out = label_correlation(features, numeric, with_p=False)

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql import types as T
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -65,7 +66,7 @@ def _incomplete_beta(a: float, b: float, x: np.ndarray) -> np.ndarray:
     return np.where(low, direct, mirrored)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation over ``n`` rows (t test)."""
     out = np.full(len(r), np.nan)

@@ -53,7 +53,7 @@ ML = {
     "tree": learners.decision_tree,
     "random_forest": learners.random_forest,
 }
-CLASSIFIERS = ["random", "naive_bayes", "knn", "perceptron_lcs", "linear_regression", *ML]
+CLASSIFIERS = ["random", "naive_bayes", "knn", "perceptron", "linreg", *ML]
 
 
 def _scaled(settings: Settings, train, train_docs, test, test_docs):
@@ -97,9 +97,9 @@ def score(name, options, fitted, test, test_docs, settings) -> DataFrame:
         if "copy" in labels.columns:
             raise ValueError("k-NN takes no balanced copies")
         return neighbours.knn(train, labels, test, test_docs.select("doc_id"), size, **options)
-    if name == "perceptron_lcs":
+    if name == "perceptron":
         return perceptron.fit_perceptron(train, labels, size, seed=settings.seed, **options).scores(test, test_docs)
-    if name == "linear_regression":
+    if name == "linreg":
         numeric = labels.withColumn("label_num", F.coalesce(F.col("label_num") if "label_num" in labels.columns else F.col("label").cast("double"), F.lit(0.0)))
         guessed = learners.linear_regression(train, numeric, size, **options).predict(test, test_docs)
         if settings.linear_raw:

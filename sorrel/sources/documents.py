@@ -46,9 +46,10 @@ def read_documents(spark: SparkSession, path: str, form: str = "lines") -> DataF
     return assign_position(rows, [padded.asc(), F.col("_f").asc()], "doc_id").select("doc_id", "text")
 
 
-def read_tokenised(spark: SparkSession, path: str) -> DataFrame:
-    """Nested token JSON: a list of documents with sentences of tokens."""
-    rows = spark.read.schema(TOKENISED).json(path, multiLine=True)
+def read_tokenised(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Nested token JSON: a list of documents with sentences of tokens per file,
+    or one document per line, which large files need to be split."""
+    rows = spark.read.schema(TOKENISED).json(path, multiLine=multiline)
     rows = rows.select("raw", "processed", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_i"))
     placed = assign_position(rows, [F.col("_f").asc(), F.col("_i").asc()], "doc_id")
     return placed.select("doc_id", "raw", "processed")

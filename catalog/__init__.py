@@ -1,4 +1,4 @@
 """All registered queries with their oracle SQL."""
 
-from catalog import base, text, vectors  # noqa: F401
+from catalog import base, text, vectors, models, reports  # noqa: F401
 from catalog.base import ORACLES, QUERIES  # noqa: F401

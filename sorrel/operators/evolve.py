@@ -131,7 +131,7 @@ def score_candidates(problem: Problem, population: DataFrame, params: DataFrame,
 
     cells = problem.tests.mapInPandas(classify, "cand long, t long, p long, n long")
     names = F.array(*[F.lit(str(v)) for v in problem.labels])
-    ids = F.array(*[F.lit(c) for c in cands])
+    ids = F.array(*[F.lit(c).cast("long") for c in cands])
     matrix = cells.groupBy("cand", "t", "p").agg(F.sum("n").alias("n")).select(
         ids[F.col("cand").cast("int")].alias("cand_id"), names[F.col("t").cast("int")].alias("target"),
         names[F.col("p").cast("int")].alias("prediction"), "n",

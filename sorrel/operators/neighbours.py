@@ -91,7 +91,7 @@ def nearest(
     groups = left.select(F.col("block").alias("tb"), F.col("rows").alias("train"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("g"))
     tests = right.select(
         (F.col("block") % copies).cast("int").alias("g"), F.col("rows").alias("test"),
-        F.explode(F.sequence(F.lit(0), F.lit(max(n_left - 1, 0)))).cast("long").alias("tb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n_left - 1, 0)).cast("long"))).alias("tb"),
     )
     pairs = tests.join(groups.hint("shuffle_hash"), ["tb", "g"]).select("train", "test")
     kind = train_docs.schema["label"].dataType.simpleString()

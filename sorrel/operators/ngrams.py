@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from sorrel.functions import text as tx
-from sorrel.plans.staging import assign_position, skew_join, stage
+from sorrel.plans.staging import assign_position, by_document, skew_join, stage
 
 KEY = ["ftype", "feature"]
 # A longer list of excluded words is joined as a table.
@@ -22,12 +22,10 @@ EXCLUDE_INLINE = 500
 def _counted(docs: DataFrame, grams: Column, ftype: str) -> DataFrame:
     """Count features inside each document.
 
-    The text is partitioned by document *before* the explode, so the counts
-    need no shuffle of the far larger n-gram rows.  The number of partitions is
-    given, since one chosen by the size of the text would be too small.
+    The documents are partitioned by id *before* the explode, so the counts
+    need no shuffle of the far larger n-gram rows.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.repartition(parts, "doc_id").select("doc_id", F.explode(grams).alias("feature"))
+    rows = by_document(docs).select("doc_id", F.explode(grams).alias("feature"))
     counts = rows.groupBy("doc_id", "feature").agg(F.count("*").cast("double").alias("value"))
     return counts.select("doc_id", F.lit(ftype).alias("ftype"), "feature", "value")
 
@@ -50,8 +48,10 @@ def token_ngrams(
 ) -> DataFrame:
     """Word n-grams inside a sentence, counted per document."""
     words = _field(tokenised, field)
-    per_sentence = lambda s: F.flatten(F.array(*[tx.ngrams(s, n) for n in sorted(set(n_list))]))
-    grams = F.flatten(F.transform(words, per_sentence))
+    # One list of sentences per length, so that all runs are flattened once.
+    runs = lambda n: words if n == 1 else F.transform(words, lambda s: tx.ngrams(s, n))
+    lists = [runs(n) for n in sorted(set(n_list))]
+    grams = F.flatten(F.concat(*lists) if len(lists) > 1 else lists[0])
     features = _counted(tokenised, grams, ftype)
     if exclude is not None:
         features = exclude_features(features, exclude)

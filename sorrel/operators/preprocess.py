@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sorrel.functions import text as tx
-from sorrel.plans.staging import skew_join, stage
+from sorrel.plans.staging import by_document, keeps_documents, skew_join, stage
 
 
 def tokenize(docs: DataFrame, strip_punctuation: bool = False, lowercase: bool = False) -> DataFrame:
@@ -15,16 +15,13 @@ def tokenize(docs: DataFrame, strip_punctuation: bool = False, lowercase: bool =
     part of speech are null until :func:`annotate` fills them.
     """
     raw = F.lower("text") if lowercase else F.col("text")
-    out = docs.select("doc_id", raw.alias("raw"), tx.sentences(raw).alias("_s"))
+    out = by_document(docs).select("doc_id", raw.alias("raw"), tx.sentences(raw).alias("_s"))
     token = lambda t: F.struct(
         t.alias("text"), F.lit(None).cast("string").alias("lemma"), F.lit(None).cast("string").alias("pos")
     )
     kept = (lambda s: tx.strip_punctuation(s)) if strip_punctuation else (lambda s: s)
-    return out.select(
-        "doc_id",
-        "raw",
-        F.filter(F.transform("_s", lambda s: F.transform(kept(s), token)), lambda s: F.size(s) > 0).alias("processed"),
-    )
+    processed = F.filter(F.transform("_s", lambda s: F.transform(kept(s), token)), lambda s: F.size(s) > 0)
+    return keeps_documents(out.select("doc_id", "raw", processed.alias("processed")))
 
 
 def sentence_tokens(docs: DataFrame, strip_punctuation: bool = False, lowercase: bool = False) -> DataFrame:
@@ -33,16 +30,17 @@ def sentence_tokens(docs: DataFrame, strip_punctuation: bool = False, lowercase:
     words = tx.sentences(raw)
     if strip_punctuation:
         words = F.filter(F.transform(words, tx.strip_punctuation), lambda s: F.size(s) > 0)
-    return docs.select("doc_id", words.alias("processed"))
+    return keeps_documents(by_document(docs).select("doc_id", words.alias("processed")))
 
 
 def lowercase(tokenised: DataFrame, lower_lemma: bool = False) -> DataFrame:
     """Lower-case raw text and token text; lemmas only on request, tags never."""
     lemma = (lambda t: F.lower(t["lemma"])) if lower_lemma else (lambda t: t["lemma"])
     token = lambda t: F.struct(F.lower(t["text"]).alias("text"), lemma(t).alias("lemma"), t["pos"].alias("pos"))
-    return tokenised.withColumn("raw", F.lower("raw")).withColumn(
+    out = tokenised.withColumn("raw", F.lower("raw")).withColumn(
         "processed", F.transform("processed", lambda s: F.transform(s, token))
     )
+    return keeps_documents(out) if getattr(tokenised, "_by_document", False) else out
 
 
 def token_rows(tokenised: DataFrame) -> DataFrame:

@@ -59,6 +59,25 @@ def stage(df: DataFrame, name: str = "t", schema: T.StructType | None = None) ->
     return out
 
 
+def by_document(docs: DataFrame) -> DataFrame:
+    """Partition documents by id while they are still plain text.
+
+    All later counting inside a document then needs no shuffle.  The number of
+    partitions is given, since one chosen by the size of the text would be too
+    small for the rows that come out of it.
+    """
+    if getattr(docs, "_by_document", False):
+        return docs
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keeps_documents(docs.repartition(parts, "doc_id"))
+
+
+def keeps_documents(df: DataFrame) -> DataFrame:
+    """Mark a table made row by row from documents partitioned by id."""
+    df._by_document = True
+    return df
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows

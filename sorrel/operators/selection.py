@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from sorrel.functions import stats
 from sorrel.operators.ngrams import KEY
 from sorrel.operators.weights import label_correlation, label_frequency
-from sorrel.plans.staging import small_side, stage
+from sorrel.plans.staging import fits, skew_join, small_side, stage
 
 _LOG = {2: F.log2, 10: F.log10, "e": F.log}
 # Columns of one block of the pairwise matrix.
 BLOCK = 512
 # Blocks that one task holds at a time, 2 MB each.
 TASK_BLOCKS = 200
+# Pairs that the driver walks by itself.
+DRIVER_PAIRS = 1_000_000
 
 
 # -------------------------------------------------------------------- entropy
@@ -101,7 +103,7 @@ def rank_by_su(features: DataFrame, labels: DataFrame, threshold: float = 0.0) -
 
 
 def _numbered(features: DataFrame, table: DataFrame) -> DataFrame:
-    return features.select("doc_id", *KEY, "value").join(F.broadcast(table.select(*KEY, "fid")), KEY)
+    return features.select("doc_id", *KEY, "value").join(small_side(table.select(*KEY, "fid")), KEY)
 
 
 def _sparse_rows(numbered: DataFrame) -> DataFrame:
@@ -193,7 +195,7 @@ def _pair_r(table: DataFrame, sums: DataFrame, size: int, n_docs: int) -> DataFr
     right = table.select(F.col("fid").alias("j"), *[F.col(c).alias(f"{c}_j") for c in KEY + ["sx", "sxx"]])
     # Every later column, as the matrix itself is the result.
     pairs = left.withColumn("j", F.explode(_later(F.col("i"), size)))
-    pairs = pairs.join(F.broadcast(right), "j").join(sums, ["i", "j"], "left")
+    pairs = pairs.join(small_side(right), "j").join(sums, ["i", "j"], "left")
     n = F.lit(float(n_docs))
     r = stats.pearson(n, F.col("sx_i"), F.col("sx_j"), F.col("sxx_i"), F.col("sxx_j"), F.coalesce("sxy", F.lit(0.0)))
     return pairs.select("ftype_i", "feature_i", "ftype_j", "feature_j", r.alias("r"))
@@ -215,10 +217,10 @@ def pair_su(features: DataFrame, table: DataFrame, n_docs: int) -> DataFrame:
     # The lower level number belongs to the lower feature number.
     levels = stage(levels.withColumn("lid", F.row_number().over(Window.orderBy("fid", "value")) - 1), "levels")
     size = levels.count()
-    coded = own.join(F.broadcast(levels.select("fid", "value", "lid")), ["fid", "value"])
+    coded = skew_join(own, levels, ["fid", "value"], "n")
     rows = _sparse_rows(coded.select("doc_id", F.col("lid").alias("fid"), F.lit(1.0).alias("value")))
     both = _gram(rows, size).filter("i < j")
-    side = F.broadcast(levels)
+    side = small_side(levels)
     a = side.select(F.col("lid").alias("i"), F.col("fid").alias("p"))
     b = side.select(F.col("lid").alias("j"), F.col("fid").alias("q"))
     cells = both.join(a, "i").join(b, "j").filter("p <> q").select("i", "j", "p", "q", F.col("sxy").alias("n"))
@@ -228,7 +230,7 @@ def pair_su(features: DataFrame, table: DataFrame, n_docs: int) -> DataFrame:
     def rest(level, col):
         # Rows with this level of one feature and zero in the other one.
         seen = cells.groupBy("p", "q", level).agg(F.sum("n").alias("m"))
-        joined = seen.join(F.broadcast(levels.select(F.col("lid").alias(level), F.col("n").alias("t"))), level)
+        joined = seen.join(side.select(F.col("lid").alias(level), F.col("n").alias("t")), level)
         diff = stats.clog(F.col("t") - F.col("m")) - stats.clog(F.col("t"))
         return joined.groupBy("p", "q").agg(F.sum(diff).alias(col))
 
@@ -239,7 +241,7 @@ def pair_su(features: DataFrame, table: DataFrame, n_docs: int) -> DataFrame:
     right = per.select(F.col("fid").alias("q"), *[F.col(c).alias(c + "_q") for c in ("nz", "cx", "h")])
     # Features that never meet share information too, so every later one counts.
     every = left.withColumn("q", F.explode(_later(F.col("p"), table.count())))
-    joined = every.join(F.broadcast(right), "q")
+    joined = every.join(small_side(right), "q")
     for part in (inner, rest("i", "rp"), rest("j", "rq")):
         joined = joined.join(part, ["p", "q"], "left")
     joined = joined.fillna(0).select("*", (n - F.col("nz_p") - F.col("nz_q") + F.col("both")).alias("none"))
@@ -255,6 +257,40 @@ def _later(number, size: int):
 # ------------------------------------------------------------------ the filters
 
 
+def _greedy(pairs: DataFrame, size: int) -> list[int]:
+    """Numbers that survive when each kept one drops all ``worse`` of its pairs.
+
+    A short pair list is walked on the driver.  A long one stays in Spark and is
+    settled in rounds: a number is kept once no better one is open, and dropped
+    once a better one is kept; the driver holds one state per feature.
+    """
+    pairs = stage(pairs, "hits")
+    if fits(pairs, DRIVER_PAIRS):
+        drops = defaultdict(list)
+        for r in pairs.collect():
+            drops[r["better"]].append(r["worse"])
+        gone: set[int] = set()
+        for k in range(size):
+            if k not in gone:
+                gone.update(drops.get(k, ()))
+        return [k for k in range(size) if k not in gone]
+    kept: set[int] = set()
+    open_ = set(range(size))
+    while open_:
+        ids = pairs.sparkSession.createDataFrame([(k,) for k in open_], "id long")
+        still = F.broadcast(ids)
+        live = pairs.join(still.withColumnRenamed("id", "better"), "better").join(still.withColumnRenamed("id", "worse"), "worse")
+        live = stage(live.select("better", "worse"), "live")
+        waiting = {r["worse"] for r in live.select("worse").distinct().collect()}
+        new = open_ - waiting
+        kept |= new
+        best = pairs.sparkSession.createDataFrame([(k,) for k in new], "better long")
+        gone = {r["worse"] for r in live.join(F.broadcast(best), "better").select("worse").distinct().collect()}
+        open_ -= new | gone
+        pairs = live
+    return sorted(kept)
+
+
 def fcbf(features: DataFrame, labels: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Fast correlation-based filter (Yu & Liu 2003): ``(ftype, feature, weight, rank)``.
 
@@ -276,14 +312,7 @@ def fcbf(features: DataFrame, labels: DataFrame, threshold: float = 0.0) -> Data
             F.least("p", "q").alias("better"), F.greatest("p", "q").alias("worse"), scores.alias("su")
         )
         hits = pairs.join(F.broadcast(weight), "worse").filter(F.col("su") >= F.col("bar"))
-        drops = defaultdict(list)
-        for r in hits.select("better", "worse").collect():
-            drops[r["better"]].append(r["worse"])
-        gone: set[int] = set()
-        for k in range(len(ranked)):
-            if k not in gone:
-                gone.update(drops.get(k, ()))
-        kept = [k for k in range(len(ranked)) if k not in gone]
+        kept = _greedy(hits.select("better", "worse"), len(ranked))
     rows = [(ranked[k]["ftype"], ranked[k]["feature"], float(ranked[k]["su"]), i) for i, k in enumerate(kept)]
     return spark.createDataFrame(rows, "ftype string, feature string, weight double, rank int")
 
@@ -324,18 +353,16 @@ def mrmr_linear(features: DataFrame, numeric: DataFrame, threshold: str) -> Data
     relevance = pearson_relevance(features, numeric).withColumn("strength", stats.rounded(F.col("strength"), 12))
     ranked, place = _ids(relevance.orderBy(F.col("strength").desc(), *KEY))
     pairs = feature_correlation(features, numeric.count()).filter(F.abs("r") > limit)
-    near = defaultdict(list)
-    for r in pairs.collect():
-        a, b = place[r["ftype_i"], r["feature_i"]], place[r["ftype_j"], r["feature_j"]]
-        near[a].append(b)
-        near[b].append(a)
-    kept, gone = [], set()
-    for k, row in enumerate(ranked):
-        if k in gone:
-            continue
-        if len(kept) >= strong if strong > 1 else row["strength"] <= strong:
+    names = spark.createDataFrame([(t, f, k) for (t, f), k in place.items()], "ftype string, feature string, fid long")
+    for side in ("i", "j"):
+        named = names.select(F.col("ftype").alias(f"ftype_{side}"), F.col("feature").alias(f"feature_{side}"), F.col("fid").alias(side))
+        pairs = pairs.join(F.broadcast(named), [f"ftype_{side}", f"feature_{side}"])
+    near = pairs.select(F.least("i", "j").alias("better"), F.greatest("i", "j").alias("worse"))
+    kept = []
+    for k in _greedy(near, len(ranked)):
+        # The first feature that falls short ends the walk.
+        if len(kept) >= strong if strong > 1 else ranked[k]["strength"] <= strong:
             break
         kept.append(k)
-        gone.update(near[k])
     rows = [(ranked[k]["ftype"], ranked[k]["feature"], float(ranked[k]["strength"]), i) for i, k in enumerate(kept)]
     return spark.createDataFrame(rows, "ftype string, feature string, weight double, rank int")

@@ -193,10 +193,11 @@ def fit_vectorizer(
     n_docs = labels.count()
     totals = feature_totals(features)
     pruned = prune_top_k(totals, prune) if prune else _all_ranked(totals)
-    pruned = stage(pruned.withColumn("idf", _smooth(n_docs)), "pruned")
+    pruned = pruned.withColumn("idf", _smooth(n_docs))
     if weight == "tfidf":
         pruned = pruned.withColumn("weight", F.col("idf"))
     elif weight == "infogain":
+        pruned = stage(pruned, "pruned")
         gains = information_gain(select_features(features, pruned).drop("feature_id"), labels)
         pruned = pruned.join(gains.select(*KEY, F.col("gain").alias("weight")), KEY, "left").fillna(0.0, ["weight"])
     elif weight in ("frequency", "binary"):

@@ -79,7 +79,15 @@ def keeps_documents(df: DataFrame) -> DataFrame:
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
+    """Whether ``df`` has at most ``rows`` rows.
+
+    A staged table is counted once, from its file footers; any other table is
+    counted no further than the limit.
+    """
+    if getattr(df, "_staged", False):
+        if getattr(df, "_rows", None) is None:
+            df._rows = df.count()
+        return df._rows <= rows
     return df.limit(rows + 1).count() <= rows
 
 

@@ -105,6 +105,15 @@ def test_mrmr_against_brute_force(spark, threshold):
     assert [r["feature"] for r in fs.mrmr_linear(f, numeric, threshold).orderBy("rank").collect()] == kept
 
 
+def test_long_pair_lists_are_settled_in_rounds(spark, monkeypatch):
+    rng = random.Random(11)
+    pairs = [(a, b) for a, b in itertools.combinations(range(30), 2) if rng.random() < 0.1]
+    table = spark.createDataFrame(pairs, "better long, worse long")
+    walked = fs._greedy(table, 30)
+    monkeypatch.setattr(fs, "DRIVER_PAIRS", 1)
+    assert fs._greedy(table, 30) == walked
+
+
 def test_correlation_matrix_in_strips(spark, monkeypatch):
     cells, classes, f, _ = random_case(spark, 5)
     whole = {tuple(r)[:4]: r["r"] for r in fs.feature_correlation(f, len(classes)).collect()}

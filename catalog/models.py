@@ -96,7 +96,18 @@ def naive_bayes_saved_and_loaded(spark, sf):
     return six(loaded.scores(words(spark, sf), docs(spark, sf)), "prob")
 
 
-@query("naive_bayes_alpha_search")
+ALPHA = f"""
+WITH {coo()}, {LANG}, {FOLDS}, {folded_bayes()}, al AS (SELECT 2.0::DOUBLE * unnest(range(1, 20)) / 19 AS alpha),
+sa AS (SELECT alpha, x.f, x.doc_id, t.label, sum(x.value * (ln(coalesce(c.n, 0) + alpha) - ln(t.t + alpha * vs.v))) AS s FROM test x JOIN tot t USING (f) JOIN vs USING (f)
+  CROSS JOIN al LEFT JOIN cnt c ON c.f = x.f AND c.label = t.label AND c.feature = x.feature GROUP BY ALL),
+ra AS (SELECT al.alpha, o.fold, o.doc_id, lab.label AS target, l.label, row_number() OVER (PARTITION BY al.alpha, o.doc_id ORDER BY coalesce(s.s, 0) + l.prior DESC, l.label) AS r
+  FROM folds o JOIN lab USING (doc_id) JOIN pri l ON l.f = o.fold CROSS JOIN al LEFT JOIN sa s ON s.f = l.f AND s.doc_id = o.doc_id AND s.label = l.label AND s.alpha = al.alpha),
+fa AS (SELECT alpha, fold, avg((target = label)::INT) AS a FROM ra WHERE r = 1 GROUP BY ALL)
+SELECT {r6('alpha')} AS alpha, {r6('avg(a)')} AS accuracy FROM fa GROUP BY alpha
+"""
+
+
+@query("naive_bayes_alpha_search", ALPHA)
 def naive_bayes_alpha_search(spark, sf):
     return six(cv.FoldedBayes(words(spark, sf), lang(spark, sf), folds(spark, sf)).alpha_scores(), "alpha", "accuracy")
 

@@ -102,11 +102,14 @@ def normalize_l2(features: DataFrame) -> DataFrame:
 
 
 def _by_row_norm(features: DataFrame, norm) -> DataFrame:
-    """Divide by the document's norm: one shuffle on the document, which holds
-    no more rows than the document has features."""
-    rows = features.repartition("doc_id")
-    norms = rows.groupBy("doc_id").agg(norm.alias("_norm"))
-    return rows.join(norms.hint("shuffle_hash"), "doc_id").withColumn("value", F.col("value") / F.col("_norm")).drop("_norm")
+    """Divide by the document's norm.
+
+    The norms are summed up before they are shuffled; the rows are shuffled once
+    and probe a hash table of the norms without being sorted.
+    """
+    norms = features.groupBy("doc_id").agg(norm.alias("_norm"))
+    joined = features.join(norms.hint("shuffle_hash"), "doc_id")
+    return joined.withColumn("value", F.col("value") / F.col("_norm")).drop("_norm").select(*features.columns)
 
 
 def weight_tfidf(features: DataFrame, idf: DataFrame) -> DataFrame:

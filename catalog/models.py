@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import FOLDS, LANG, PREDICTED, QUALITY, SOURCE, bayes, coo, docs, folded_bayes, folds, lang, quality, query, r6, shared, six, source, table, unit, whole, words
-from catalog.vectors import DENSE, length, vectors
+from catalog.vectors import length, vectors
 from sorrel.operators import folds as cv, instances, learners, naive_bayes as nb, neighbours, ordinal, perceptron, weights
 from sorrel.operators.baseline import random_baseline
 from sorrel.operators.folds import make_folds
-from sorrel.operators.ngrams import KEY
 from sorrel.plans.staging import stage, staging_root
 from sorrel.sources import storage
 

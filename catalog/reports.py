@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import FOLDS, LANG, PREDICTED, QUALITY, SOURCE, bayes, cells, coo, docs, folded_bayes, folds, lang, quality, query, r6, rates, shared, six, source, table, unit, whole, words
-from catalog.models import _random_sql, quality_scores
-from catalog.vectors import length, top_words
+from catalog.models import _random_sql
+from catalog.vectors import length
 from sorrel.operators import evolve, folds as cv, report, stacking, weights
 from sorrel.operators.baseline import random_baseline
 from sorrel.operators.instances import label_list, predictions
 from sorrel.plans import pipeline
-from sorrel.plans.settings import Append, Evolution, Features, Folds, Settings, Text, Vectors
+from sorrel.plans.settings import Features, Folds, Settings, Text, Vectors
 from sorrel.plans.staging import assign_position, stage
 
 RATES = ["pr", "re", "f1", "tpr", "fpr", "auc"]

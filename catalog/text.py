@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalog.base import LANG, SENT, TOK, coo, docs, grams, lang, quality, query, r6, shared, six, table, whole, words
+from catalog.base import SENT, TOK, coo, docs, grams, quality, query, shared, table, words
 from sorrel.functions import text as tx
 from sorrel.operators import ngrams, preprocess, weights
 from sorrel.plans.staging import assign_position, stage, staging_root

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from catalog.base import LANG, QUALITY, SOURCE, coo, docs, lang, quality, query, r6, shared, six, source, table, whole, words
 from sorrel.operators import balance as bal, instances, ngrams, scaling, selection as fs, weights
-from sorrel.operators.ngrams import KEY
 from sorrel.plans.staging import stage
 
 TOP = "top AS (SELECT feature FROM coo GROUP BY feature ORDER BY sum(value) DESC, feature LIMIT {k})"

@@ -8,17 +8,19 @@ from sorrel.llm import secrets, simhash
 from sorrel.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
-def _joined(parts):
-    return F.array_join(parts, ",")
-
-
 @query("op9_secret_scans")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets of every whole text, base kinds counted and digested."""
     found = secrets.find_secrets(table(spark, sf, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secrets.BASE]))
-    written = lambda spans: _joined(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-    counts = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE]
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(r.kind).alias(f"n_{r.kind}") for r in secrets.BASE]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sorrel.llm import secrets, simhash
+from sorrel.llm import language, secrets, simhash
 from sorrel.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -29,3 +29,11 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf, "documents")
+    found = language.identify(docs, ~language.held_out())
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")

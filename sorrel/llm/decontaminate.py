@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sorrel.llm.batches import bounded
 from sorrel.plans.staging import stage
 
 # Items that are sent to the tasks together hold at most so many words.
@@ -181,6 +182,7 @@ def leaks(
     1/3).  Items are read in blocks through the driver; texts never are.
     """
     spark = docs.sparkSession
+    bounded(spark)
     item_kind, kind = dict(benchmark.dtypes)[item_key], dict(docs.dtypes)[key]
     rows = benchmark.select(F.col(item_key), F.col(item_text)).filter(F.col(item_text).isNotNull())
     out = None

@@ -25,7 +25,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from sorrel.llm.batches import bounded
 
 UNKNOWN = "und"
 # A phrase never crosses a multiple of this many characters.
@@ -115,14 +117,14 @@ def build(samples: dict[str, list[str]]) -> Model:
     for name in languages:
         text = table[code_points("\n".join(samples[name]))]
         states = suffix_automaton(text)
-        to = np.full((len(states), width), -1, np.int64)
+        # One state more, for a symbol that the language's text lacks: a phrase of its own that nothing follows.
+        to = np.full((len(states) + 1, width), -1, np.int64)
         for n, moves in enumerate(states):
             for c, s in moves.items():
                 to[n, c] = s
-        start = np.maximum(to[0], 0)
         ended = to < 0
-        to = np.where(ended, start[None, :], to)
-        # An unseen symbol at the start is a phrase of its own; the start is then entered anew.
+        to = np.where(ended, np.where(to[0] < 0, len(states), to[0])[None, :], to)
+        ended[0] = False  # the start is left by a block's first symbol only
         parts.append((((to * width + base) << 1) | ended).ravel())
         roots.append(base)
         bits.append(math.log2(max(2, len(text))))
@@ -195,8 +197,6 @@ def sample_texts(docs: DataFrame, label: str, text: str, usable: Column, rows: i
     fit = usable & F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= row_chars) & F.col(text).rlike(r"\p{L}")
     hashed = docs.filter(fit).select(F.col(label).alias("label"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     first = hashed.groupBy("label", "h").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
     chosen = first.withColumn("r", rank).filter(F.col("r") <= rows).select("label", "h")
     found = hashed.join(F.broadcast(chosen), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))
@@ -233,8 +233,7 @@ def fitted(docs: DataFrame, usable: Column, text: str = "text", label: str = "la
 
 def language_column(text: Column, model: Model) -> Column:
     """``struct<lang_pred, score>`` of a text column."""
-    from pyspark.sql import SparkSession
-
+    bounded(SparkSession.active())
     sent = SparkSession.active().sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -30,6 +30,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sorrel.llm.batches import bounded
+
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOL = re.compile(r"[^\w\s]")
 
@@ -55,6 +57,11 @@ def shares(text: str, counts: Counter) -> list[float]:
     ]
 
 
+def standard(dense: np.ndarray, middle: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standard scores; texts unlike any that was learned from count as three deviations off."""
+    return np.clip((dense - middle) / scale, -3, 3)
+
+
 class Linear(NamedTuple):
     """Logistic model over chosen word features, shares and earlier probabilities."""
 
@@ -65,7 +72,7 @@ class Linear(NamedTuple):
 
     def probability(self, found: np.ndarray, dense: np.ndarray) -> np.ndarray:
         """``found``: texts x chosen features; ``dense``: texts x the other inputs."""
-        x = np.hstack((found, (dense - self.middle) / self.scale, np.ones((len(dense), 1))))
+        x = np.hstack((found, standard(dense, self.middle, self.scale), np.ones((len(dense), 1))))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -40, 40)))
 
 
@@ -87,8 +94,8 @@ def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, size: i
     p = (count[0] + count[1] + 1) / (len(y) + 2)
     z = np.abs(count[1] / n1 - count[0] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     chosen = np.sort(np.argsort(-z, kind="stable")[: min(MOST, int((z >= CLEAR).sum()))])
-    middle, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
-    x = np.hstack((presence(rows, chosen, size), (dense - middle) / scale, np.ones((len(y), 1))))
+    middle, scale = dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-3)
+    x = np.hstack((presence(rows, chosen, size), standard(dense, middle, scale), np.ones((len(y), 1))))
     cost = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
     # The largest curvature, by power steps and with room to spare.
     top = np.ones(x.shape[1])
@@ -188,6 +195,7 @@ def toxicity(
     ``columns`` gives, in the order of the chain, each category's 0/1 label as a
     column of ``labels``.
     """
+    bounded(docs.sparkSession)
     chain = fit_chain(*sample(docs, labels, columns, key, text, rows, row_chars), tuple(columns))
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{c}" for c in columns]

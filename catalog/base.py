@@ -191,11 +191,13 @@ def cells(pairs="pairs", by="") -> str:
     )
 
 
-def rates() -> str:
+def rates(shown=r6) -> str:
+    """Rates of the cells, each passed through ``shown``."""
+
     def over(top, bottom):
         return f"CASE WHEN {bottom} = 0 THEN 0.0::DOUBLE ELSE ({top})::DOUBLE / ({bottom}) END"
 
     pr, re, f1, fpr = over("tp", "(tp + fp)"), over("tp", "(tp + fn)"), over("2 * tp", "(2 * tp + fp + fn)"), over("fp", "(fp + tn)")
     return (
-        f"{r6(pr)} AS pr, {r6(re)} AS re, {r6(f1)} AS f1, {r6(re)} AS tpr, {r6(fpr)} AS fpr, {r6(f'(1 + ({re}) - ({fpr})) / 2')} AS auc"
+        f"{shown(pr)} AS pr, {shown(re)} AS re, {shown(f1)} AS f1, {shown(re)} AS tpr, {shown(fpr)} AS fpr, {shown(f'(1 + ({re}) - ({fpr})) / 2')} AS auc"
     )

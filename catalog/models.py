@@ -149,7 +149,7 @@ def nb_classes(spark, sf):
 @shared
 def dense(spark, sf):
     """Embeddings as numbered columns with labels and five folds."""
-    rows = vectors(spark, sf).withColumn("feature_id", F.substring("feature", 2, 3).cast("int"))
+    rows = vectors(spark, sf).withColumn("feature_id", F.col("feature").substr(F.lit(2), F.length("feature")).cast("int"))
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("label"))
     parts = stage(make_folds(labels, 5), "folds").select("doc_id", "fold")
     return stage(rows, "dense"), stage(labels.join(parts, "doc_id"), "dense_labels")

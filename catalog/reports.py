@@ -11,7 +11,7 @@ from sorrel.operators import evolve, folds as cv, report, stacking, weights
 from sorrel.operators.baseline import random_baseline
 from sorrel.operators.instances import label_list, predictions
 from sorrel.plans import pipeline
-from sorrel.plans.settings import Features, Folds, Settings, Text, Vectors
+from sorrel.plans.settings import Evolution, Features, Folds, Settings, Text, Vectors
 from sorrel.plans.staging import assign_position, stage
 
 RATES = ["pr", "re", "f1", "tpr", "fpr", "auc"]
@@ -32,11 +32,11 @@ def make_folds(spark, sf):
 
 @query(
     "make_folds_in_blocks",
-    "WITH t AS (SELECT (conv_id * 1000 + turn)::BIGINT AS doc_id, (row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1)::BIGINT AS pos FROM conversations) "
+    "WITH t AS (SELECT (conv_id * 4294967296 + turn)::BIGINT AS doc_id, (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS pos FROM conversations) "
     "SELECT doc_id, pos, CASE WHEN pos >= 20 AND pos < 400 THEN (((pos - 20) // 4) % 5)::INT ELSE -1 END AS fold FROM t",
 )
 def make_folds_in_blocks(spark, sf):
-    ids = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"))
+    ids = table(spark, sf, "conversations").select((F.col("conv_id") * (1 << 32) + F.col("turn")).alias("doc_id"))
     return cv.make_folds(ids, 5, 4, 20, 400)
 
 
@@ -196,29 +196,31 @@ for _kind in ("tp", "fp", "fn", "tn"):
         return whole(report.ranked_outcomes(fold_scores(spark, sf).drop("fold"), lang(spark, sf), "en", kind), "rank")
 
 
-PER_FOLD = (
-    f"{CV}, {PREDICTED}, pairs AS (SELECT o.fold, doc_id, label AS target, prediction FROM pred JOIN lab USING (doc_id) JOIN folds o USING (doc_id)), {cells(by='fold')}, "
-    f"perf AS (SELECT fold, label, {rates()}, tot, clf, tp AS cor FROM cells UNION ALL SELECT fold, 'micro', {rates()}, n, n, tp FROM "
-    "(SELECT fold, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, max(n) AS n FROM cells GROUP BY fold))"
-)
+def per_fold_sql(shown=r6) -> str:
+    return (
+        f"{CV}, {PREDICTED}, pairs AS (SELECT o.fold, doc_id, label AS target, prediction FROM pred JOIN lab USING (doc_id) JOIN folds o USING (doc_id)), {cells(by='fold')}, "
+        f"perf AS (SELECT fold, label, {rates(shown)}, tot, clf, tp AS cor FROM cells UNION ALL SELECT fold, 'micro', {rates(shown)}, n, n, tp FROM "
+        "(SELECT fold, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, max(n) AS n FROM cells GROUP BY fold))"
+    )
 
 
 def _per_fold(spark, sf):
     pairs = report.outcomes(predictions(fold_scores(spark, sf)), lang(spark, sf))
-    return six(report.performance(pairs, by=["fold"]), *RATES)
+    return report.performance(pairs, by=["fold"])
 
 
-@query("fold_performance", f"{PER_FOLD} SELECT * FROM perf")
+@query("fold_performance", f"{per_fold_sql()} SELECT * FROM perf")
 def fold_performance(spark, sf):
-    return _per_fold(spark, sf)
+    return six(_per_fold(spark, sf), *RATES)
 
 
 @query(
     "fold_summary",
-    f"{PER_FOLD} SELECT label, " + ", ".join(f"{r6(f'avg({c})')} AS {c}_mean, {r6(f'stddev_pop({c})')} AS {c}_std" for c in RATES)
+    f"{per_fold_sql('({})'.format)} SELECT label, " + ", ".join(f"{r6(f'avg({c})')} AS {c}_mean, {r6(f'stddev_pop({c})')} AS {c}_std" for c in RATES)
     + ", sum(tot)::BIGINT AS tot, sum(clf)::BIGINT AS clf, sum(cor)::BIGINT AS cor FROM perf GROUP BY label",
 )
 def fold_summary(spark, sf):
+    """The rates of a fold enter the means unrounded; the means are rounded once."""
     found = report.fold_summary(_per_fold(spark, sf))
     return six(found, *[f"{c}_{m}" for c in RATES for m in ("mean", "std")])
 
@@ -291,7 +293,26 @@ def _split(spark, sf):
     return labels, docs(spark, sf).join(labels, "doc_id", "left_anti").select("doc_id")
 
 
-@query("classify_append")
+SIZES = (
+    "sizes AS (SELECT doc_id, 'csv' AS ftype, 'csv:length' AS feature, floor(log10(n_chars + 1))::DOUBLE AS value FROM documents "
+    "WHERE floor(log10(n_chars + 1)) <> 0)"
+)
+LABELLED = "lab AS (SELECT doc_id, CAST(quality AS VARCHAR) AS label FROM labels WHERE quality IS NOT NULL)"
+
+
+def label_folds(n: int) -> str:
+    return f"folds AS (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) % {n})::INT AS fold FROM lab)"
+
+
+@query(
+    "classify_append",
+    f"WITH {coo(name='wrd')}, {SIZES}, {LABELLED}, {label_folds(3)}, "
+    f"held AS (WITH coo AS (SELECT * FROM wrd), {folded_bayes()}, {PREDICTED} SELECT doc_id, prediction FROM pred), "
+    f"fresh AS (WITH coo AS (SELECT * FROM wrd), {bayes()}, {PREDICTED} SELECT doc_id, prediction FROM pred WHERE doc_id NOT IN (SELECT doc_id FROM lab)), "
+    "guess AS (SELECT * FROM held UNION ALL SELECT * FROM fresh), "
+    "coo AS (SELECT doc_id, 'prediction' AS ftype, 'BOW' AS feature, prediction::DOUBLE AS value FROM guess WHERE prediction <> '0' UNION ALL SELECT * FROM sizes), "
+    f"{bayes()} SELECT doc_id, label, prob FROM p WHERE doc_id NOT IN (SELECT doc_id FROM lab)",
+)
 def classify_append(spark, sf):
     labels, rest = _split(spark, sf)
     found = stacking.classify_append(pipeline.trainer(PLAIN), words(spark, sf), labels, words(spark, sf), rest, _sizes(spark, sf), text=pipeline.trainer(PLAIN), n=3)
@@ -313,7 +334,11 @@ def _two(spark, sf, labels):
     return stage(cv.make_folds(labels, 2), "two")
 
 
-@query("validate_append")
+@query(
+    "validate_append",
+    f"WITH {coo(name='wrd')}, {SIZES}, {LABELLED}, {label_folds(2)}, coo AS (SELECT * FROM wrd UNION ALL SELECT * FROM sizes), {folded_bayes()} "
+    "SELECT fold, doc_id, label, prob FROM p",
+)
 def validate_append(spark, sf):
     labels, _ = _split(spark, sf)
     return six(stacking.validate_append(pipeline.trainer(PLAIN), words(spark, sf), labels, _two(spark, sf, labels), _sizes(spark, sf)), "prob")
@@ -341,6 +366,43 @@ def run_train_test(spark, sf):
     return pipeline.run_pipeline(docs(spark, sf), quality(spark, sf), docs(spark, sf), settings=settings)["predictions"]
 
 
+@query(
+    "run_scaled",
+    f"WITH {coo(name='wrd')}, {QUALITY}, mine AS (SELECT w.* FROM wrd w JOIN lab USING (doc_id)), "
+    "top AS (SELECT feature FROM mine GROUP BY feature ORDER BY sum(value) DESC, feature LIMIT 5000), "
+    "span AS (SELECT feature, CASE WHEN count(*) < (SELECT count(*) FROM lab) THEN 0.0 ELSE min(value) END AS lo, max(value) AS hi FROM mine JOIN top USING (feature) GROUP BY feature), "
+    "coo AS (SELECT doc_id, ftype, feature, (value - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END AS value FROM wrd JOIN span USING (feature) WHERE value <> lo), "
+    f"{bayes(vocab='SELECT feature FROM top')}, {PREDICTED} SELECT doc_id, prediction FROM pred",
+)
+def run_scaled(spark, sf):
+    """Whole run: prune by counts, then scale the vectors, then classify."""
+    settings = Settings(text=Text(False, True), features=Features(ngrams=(1,)), vectors=Vectors(scale=True))
+    return pipeline.run_pipeline(docs(spark, sf), quality(spark, sf), docs(spark, sf), settings=settings)["predictions"]
+
+
+@query(
+    "run_append",
+    f"WITH {coo(name='wrd')}, {SIZES}, {QUALITY}, coo AS (SELECT * FROM wrd UNION ALL SELECT * FROM sizes), {bayes()}, {PREDICTED} SELECT doc_id, prediction FROM pred",
+)
+def run_append(spark, sf):
+    """Whole run on words and a length band of every document."""
+    settings = Settings(text=Text(False, True), features=Features(ngrams=(1,)))
+    return pipeline.run_pipeline(docs(spark, sf), quality(spark, sf), docs(spark, sf), append=_sizes(spark, sf), settings=settings)["predictions"]
+
+
+@query(
+    "run_evolved_validation",
+    f"WITH {QUALITY} SELECT label, count(*) AS tot FROM lab GROUP BY label UNION ALL SELECT 'micro', count(*) FROM lab",
+)
+def run_evolved_validation(spark, sf):
+    """Whole run in two folds, each with a search on its own train part: every document is scored once."""
+    settings = Settings(
+        text=Text(False, True), features=Features(ngrams=(1,)), folds=Folds(n=2), vectors=Vectors(prune=50),
+        evolution=Evolution(ga=True, num_iterations=1, population_size=6),
+    )
+    return pipeline.run_pipeline(docs(spark, sf), quality(spark, sf), settings=settings)["performance"].select("label", "tot")
+
+
 @query("train_full_model", f"WITH {coo()}, {LANG}, {bayes()} SELECT 'tokens' AS ftype, feature, label, {r6('w')} AS log_prob FROM w")
 def train_full_model(spark, sf):
     from sorrel.operators import naive_bayes as nb
@@ -374,11 +436,16 @@ def scored(spark, sf):
 
 SAMPLE = (
     f"{LANG}, b AS (SELECT doc_id, label, row_number() OVER (ORDER BY doc_id) - 1 AS block FROM lab), "
-    f"ordered AS (SELECT doc_id, label, (row_number() OVER (ORDER BY {unit('42_0', 'block')}, block) - 1) AS rank FROM b), "
-    "sample AS (SELECT doc_id, label, rank < floor(0.8 * (SELECT count(*) FROM lab)) AS train FROM ordered)"
+    f"ordered AS (SELECT doc_id, label, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY {unit(42, 'block')}, block) AS rank FROM b), "
+    "sample AS (SELECT doc_id, label, rank <= least(floor(0.8 * n), n - 1) AS train FROM ordered)"
 )
 
 
+@query("random_population", f"WITH {POP} SELECT cand_id, feature_id::INT AS feature_id FROM pop")
+def random_population(spark, sf):
+    return evolving(spark, sf)[2]
+
+
 @query("train_test_sample", f"WITH {SAMPLE} SELECT * FROM sample")
 def train_test_sample(spark, sf):
     return evolving(spark, sf)[1]
@@ -439,8 +506,12 @@ def crossover(spark, sf):
 
 @query(
     "mutate",
-    f"{CHILDREN}, flips AS (SELECT child, feature_id FROM (SELECT unnest(range(18)) AS child) CROSS JOIN (SELECT unnest(range(100)) AS feature_id) WHERE {unit('42_m0', 'child', 'feature_id')} < 0.3), "
-    "u AS (SELECT * FROM children UNION ALL SELECT * FROM flips) SELECT child, feature_id::INT AS feature_id FROM u GROUP BY ALL HAVING count(*) = 1",
+    f"{CHILDREN}, ids AS (SELECT unnest(range(18)) AS child), "
+    f"flips AS (SELECT child, feature_id FROM ids CROSS JOIN (SELECT unnest(range(100)) AS feature_id) "
+    f"WHERE {unit('42_x', 'child // 2')} < 0.9 AND {unit('42_m0', 'child', 'feature_id')} < 0.3), "
+    "u AS (SELECT * FROM children UNION ALL SELECT * FROM flips), m AS (SELECT child, feature_id FROM u GROUP BY ALL HAVING count(*) = 1) "
+    "SELECT child, feature_id::INT AS feature_id FROM m UNION ALL "
+    f"SELECT child, floor({unit('42_m1', 'child')} * 100)::INT FROM ids WHERE child NOT IN (SELECT child FROM m)",
 )
 def mutate(spark, sf):
     parents = evolve.select_parents(scored(spark, sf), "f1_micro", 9, 2)
@@ -461,3 +532,19 @@ def evolve_(spark, sf):
 @query("evolution_report")
 def evolution_report(spark, sf):
     return evolve.evolution_report(evolved(spark, sf).rounds)
+
+
+@query(
+    "evolution_report_of_rounds",
+    "SELECT l_linenumber AS round, " + ", ".join(
+        f"{r6(f'avg({c})')} AS {n}_avg, {r6(f'median({c})')} AS {n}_median, {r6(f'max({c})')} AS {n}_best, {r6(f'min({c})')} AS {n}_worst"
+        for n, c in (("fitness", "l_discount"), ("n_features", "l_quantity"), ("weighted", "l_tax"))
+    ) + " FROM lineitem GROUP BY l_linenumber",
+)
+def evolution_report_of_rounds(spark, sf):
+    """The report over a table of rounds with many candidates."""
+    rounds = table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").alias("round"), F.col("l_discount").alias("fitness"), F.col("l_quantity").alias("n_features"), F.col("l_tax").alias("weighted")
+    )
+    names = [f"{n}_{m}" for n in ("fitness", "n_features", "weighted") for m in ("avg", "median", "best", "worst")]
+    return six(evolve.evolution_report(rounds), *names)

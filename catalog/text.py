@@ -90,6 +90,76 @@ def selection_written(spark, sf):
     return spark.read.csv(path, sep="\t", schema="feature string, weight double", quote='"', escape="\\")
 
 
+def _written_lines(spark, rows, order, name: str) -> str:
+    """Write the column ``value`` as text in the given order."""
+    path = _path(spark, name)
+    rows.orderBy(*order).select("value").write.mode("overwrite").text(path)
+    return path
+
+
+@query(
+    "read_feature_csv_file",
+    CSV_SQL.replace("SELECT p_partkey AS doc_id", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS doc_id"),
+)
+def read_feature_csv_file(spark, sf):
+    """Delimited lines with missing marks and decimal commas, written and read by the reader."""
+    size = F.when(F.col("p_size") == 1, "NA").when(F.col("p_size") == 2, "#NULL!").otherwise(F.col("p_size").cast("string"))
+    price = F.regexp_replace(F.col("p_retailprice").cast("string"), r"\.", ",")
+    lines = table(spark, sf, "part").select("p_partkey", F.concat_ws(";", size, price).alias("value"))
+    return src.read_feature_csv(spark, _written_lines(spark, lines, ["p_partkey"], "csv"), ";", ["size", "price"])
+
+
+@query("read_labels_file", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, lang AS label FROM documents")
+def read_labels_file(spark, sf):
+    lines = table(spark, sf, "documents").select("doc_id", F.concat(F.lit(" "), "lang", F.lit(" ")).alias("value"))
+    return src.read_labels(spark, _written_lines(spark, lines, ["doc_id"], "labels"))
+
+
+@query("vocabulary_written_and_read", f"WITH {coo()} SELECT ftype, feature, sum(value) AS total, count(*) AS df FROM coo GROUP BY ftype, feature")
+def vocabulary_written_and_read(spark, sf):
+    path = _path(spark, "features")
+    storage.write_features(words(spark, sf), vocabulary(spark, sf), path)
+    return storage.read_features(spark, path)[1].select("ftype", "feature", "total", "df")
+
+
+PARTS = "SELECT p_brand, count(*) AS n, {mean} AS price FROM part GROUP BY p_brand"
+
+
+def _brands(spark, sf, digits):
+    price = F.round(F.avg("p_retailprice"), digits)
+    return table(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n"), price.alias("price"))
+
+
+@query("report_csv_written", PARTS.format(mean="round(round(avg(p_retailprice), 4), 2)"))
+def report_csv_written(spark, sf):
+    path = _path(spark, "report")
+    storage.write_report_csv(_brands(spark, sf, 4), path)
+    return spark.read.csv(path, header=True, schema="p_brand string, n long, price double")
+
+
+@query("report_txt_written", "SELECT p_brand || '|' || n AS value FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)")
+def report_txt_written(spark, sf):
+    path = _path(spark, "report")
+    storage.write_report_txt(_brands(spark, sf, 4).select("p_brand", "n"), path, "|")
+    return spark.read.text(path)
+
+
+@query(
+    "read_tokenised_tokens",
+    f"WITH t AS (SELECT text, list_filter(list_transform(regexp_extract_all(text, '{SENT}'), lambda s: regexp_extract_all(s, '{TOK}')), lambda s: len(s) > 0) AS p FROM benchmark) "
+    "SELECT md5(text) AS digest, len(p)::BIGINT AS n_sentences, md5(array_to_string(list_transform(p, lambda s: array_to_string(s, ' ')), '|')) AS tokens FROM t",
+)
+def read_tokenised_tokens(spark, sf):
+    """The nested tokens of the file, not its raw texts alone."""
+    path = _path(spark, "tokenised")
+    bench = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    preprocess.tokenize(bench).select("raw", "processed").write.mode("overwrite").json(path)
+    texts = F.transform("processed", lambda s: F.array_join(F.transform(s, lambda t: t["text"]), " "))
+    return src.read_tokenised(spark, path, multiline=False).select(
+        F.md5("raw").alias("digest"), F.size("processed").cast("long").alias("n_sentences"), F.md5(F.array_join(texts, "|")).alias("tokens")
+    )
+
+
 # ------------------------------------------------------------------- preprocessing
 
 def sentences_sql(text: str) -> str:
@@ -263,12 +333,13 @@ def build_vocabulary(spark, sf):
     return vocabulary(spark, sf)
 
 
-TURNS = "turns AS (SELECT (conv_id * 1000 + turn)::BIGINT AS doc_id, role, text FROM conversations)"
+TURNS = "turns AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS doc_id, role, text FROM conversations)"
 
 
 def turns(spark, sf):
-    t = table(spark, sf, "conversations")
-    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "role", "text")
+    """Turns numbered by place, so that no number of turns makes two of them alike."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return assign_position(rows, [F.col("conv_id").asc(), F.col("turn").asc()], "doc_id").select("doc_id", "role", "text")
 
 
 @query(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sorrel.functions.hashing import hash_unit
 from sorrel.operators import report
 from sorrel.operators.instances import in_order
-from sorrel.plans.staging import assign_position, stage
+from sorrel.plans.staging import assign_position, rank_within, small_side, stage
 
 MAXIMISED = ("precision_micro", "recall_micro", "f1_micro", "roc_auc")
 METRICS = MAXIMISED + ("mae", "rmse")
@@ -37,21 +37,21 @@ def random_parameters(spark: SparkSession, options: list[float], size: int = 100
 def train_test_sample(labels: DataFrame, share: float = 0.8, steps: int = 1, seed: int = 42) -> DataFrame:
     """``(doc_id, label, train)``: whole blocks of ``steps`` neighbours.
 
-    The split is drawn again until the test part holds every label.
+    The split is stratified: blocks are ranked by a hash within the rarest label
+    that they hold (the smallest one on a tie), and of each such group the share goes to the train part,
+    but never the whole group.  With blocks of one document the test part so
+    holds every label.
     """
     placed = assign_position(labels, [F.col("doc_id").asc()])
-    placed = stage(placed.withColumn("block", F.floor(F.col("pos") / steps)), "blocks")
-    blocks = placed.select("block").distinct()
-    n_blocks = blocks.count()
-    n_labels = placed.select("label").distinct().count()
-    for attempt in range(100):
-        keyed = blocks.withColumn("_u", hash_unit(f"{seed}_{attempt}", F.col("block")))
-        ranked = assign_position(keyed, [F.col("_u").asc(), F.col("block").asc()], "rank")
-        side = ranked.select("block", (F.col("rank") < int(share * n_blocks)).alias("train"))
-        out = stage(placed.join(side, "block").select("doc_id", "label", "train"), "sample")
-        if out.filter("not train").select("label").distinct().count() == n_labels:
-            return out
-    raise ValueError("no sample has every label in its test part")
+    counts = labels.groupBy("label").agg(F.count("*").alias("_n"))
+    placed = stage(placed.withColumn("block", F.floor(F.col("pos") / steps)).join(small_side(counts), "label"), "blocks")
+    blocks = placed.groupBy("block").agg(F.min(F.struct("_n", "label"))["label"].alias("stratum"))
+    keyed = blocks.withColumn("_u", hash_unit(seed, F.col("block")))
+    ranked = stage(rank_within(keyed, ["stratum"], [F.col("_u").asc(), F.col("block").asc()]), "ranked")
+    sizes = ranked.groupBy("stratum").agg(F.count("*").alias("_size"))
+    kept = F.least(F.floor(F.lit(share) * F.col("_size")), F.col("_size") - 1)
+    side = ranked.join(small_side(sizes), "stratum").select("block", (F.col("rank") <= kept).alias("train"))
+    return stage(placed.join(side, "block").select("doc_id", "label", "train"), "sample")
 
 
 @dataclass
@@ -184,40 +184,45 @@ def select_parents(scored: DataFrame, metric: str, n_pairs: int, elite: int, tou
     return winners.join(F.broadcast(ranked), "place").select("pair", "side", "cand_id")
 
 
+def _spliced(pair, probability: float, seed):
+    """Whether a pair is crossed; if not, it hands its parents on as they are."""
+    return hash_unit(f"{seed}_x", pair) < probability
+
+
 def crossover(population: DataFrame, parents: DataFrame, n_features: int, points: int = 1, probability: float = 0.9, seed: int = 42) -> DataFrame:
-    """``(child, feature_id)``: two children per pair, spliced at hashed cuts.
+    """``(child, feature_id)``: two children per pair, spliced at distinct hashed cuts.
 
     A pair that the probability passes over hands its parents on unchanged.
     """
     bits = parents.join(population, "cand_id").select("pair", "side", "feature_id")
-    spliced = hash_unit(f"{seed}_x", F.col("pair")) < probability
     both = bits.select("pair", "side", "feature_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("twin"))
     child = F.col("pair") * 2 + F.col("twin")
-    cuts = [F.floor(hash_unit(f"{seed}_c{j}", child) * n_features) for j in range(points)]
-    passed = sum(((F.col("feature_id") >= c).cast("int") for c in cuts), F.lit(0))
-    keep = F.when(spliced, passed % 2 == F.col("side")).otherwise(F.col("twin") == F.col("side"))
+    # Sorted draws, the j-th moved on by j, are never equal.
+    draws = F.array_sort(F.array(*[F.floor(hash_unit(f"{seed}_c{j}", child) * (n_features - points + 1)) for j in range(points)]))
+    passed = sum(((F.col("feature_id") >= draws[j] + j).cast("int") for j in range(points)), F.lit(0))
+    keep = F.when(_spliced(F.col("pair"), probability, seed), passed % 2 == F.col("side")).otherwise(F.col("twin") == F.col("side"))
     return both.filter(keep).select(child.alias("child"), "feature_id")
 
 
-def mutate(children: DataFrame, n_children: int, n_features: int, rate: float = 0.3, seed: int = 42) -> DataFrame:
-    """Flip each bit with probability ``rate``; a child never ends up empty."""
+def mutate(
+    children: DataFrame, n_children: int, n_features: int, rate: float = 0.3, seed: int = 42, probability: float = 0.9
+) -> DataFrame:
+    """Flip each bit of the children of crossed pairs with probability ``rate``.
+
+    ``probability`` and ``seed`` are those of :func:`crossover`; the children of pairs
+    that were not crossed stay as they are.  A child that would end up empty
+    gets one hashed bit.
+    """
     spark = children.sparkSession
     ids = spark.range(n_children).select(F.col("id").alias("child"))
-
-    def flipped(rows: DataFrame, who: DataFrame, turn: int) -> DataFrame:
-        cells = who.select("child", F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))).alias("feature_id"))
-        flips = cells.filter(hash_unit(f"{seed}_m{turn}", F.col("child"), F.col("feature_id")) < rate)
-        both = rows.select("child", "feature_id").unionByName(flips)
-        return both.groupBy("child", "feature_id").agg(F.count("*").alias("n")).filter("n = 1").drop("n")
-
-    out = stage(flipped(children, ids, 0), "mutated")
-    for turn in range(1, 20):
-        empty = ids.join(out.select("child").distinct(), "child", "left_anti")
-        if empty.isEmpty():
-            break
-        again = flipped(children.join(empty, "child", "left_semi"), empty, turn)
-        out = stage(out.unionByName(again), "mutated")
-    return out
+    crossed = ids.filter(_spliced(F.floor(F.col("child") / 2), probability, seed))
+    cells = crossed.select("child", F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))).alias("feature_id"))
+    flips = cells.filter(hash_unit(f"{seed}_m0", F.col("child"), F.col("feature_id")) < rate)
+    both = children.select("child", "feature_id").unionByName(flips)
+    out = stage(both.groupBy("child", "feature_id").agg(F.count("*").alias("n")).filter("n = 1").drop("n"), "mutated")
+    bit = F.floor(hash_unit(f"{seed}_m1", F.col("child")) * n_features).cast(out.schema["feature_id"].dataType)
+    empty = ids.join(out.select("child").distinct(), "child", "left_anti").select("child", bit.alias("feature_id"))
+    return out.unionByName(empty)
 
 
 @dataclass
@@ -255,20 +260,26 @@ def evolve(
         best = max(values.values()) if metric in MAXIMISED else min(values.values())
         better = last is None or (best > last if metric in MAXIMISED else best < last)
         last, streak = (best, 1) if better else (last, streak + 1)
-        tops = [c for c, v in values.items() if v == best]
-        winners = population.filter(F.col("cand_id").isin(tops)), params.filter(F.col("cand_id").isin(tops))
+        if better:
+            # The features of the round that set the best value, which later rounds may not reach again.
+            tops = [c for c, v in values.items() if v == best]
+            winners = population.filter(F.col("cand_id").isin(tops)), params.filter(F.col("cand_id").isin(tops))
         if streak >= stop_condition or turn >= num_iterations:
             break
         turn += 1
         mark = f"{seed}_{turn}"
         parents = stage(select_parents(scored, metric, n_pairs, n_elite, tournament_size, mark), "parents")
         children = crossover(population, parents, n_features, n_crossovers, crossover_probability, mark)
-        children = mutate(stage(children, "children"), 2 * n_pairs, n_features, mutation_rate, mark)
+        children = mutate(stage(children, "children"), 2 * n_pairs, n_features, mutation_rate, mark, crossover_probability)
         ranked = _best_first(scored, metric).filter(F.col("place") < n_elite).select("cand_id", "place")
         ranked = stage(ranked, "elite")
         kept = population.join(F.broadcast(ranked), "cand_id").select(F.col("place").alias("cand_id"), "feature_id")
         born = children.select((F.col("child") + n_elite).alias("cand_id"), "feature_id").filter(F.col("cand_id") < population_size)
         drawn = random_parameters(spark, list(alphas), population_size, mark).filter(F.col("cand_id") >= n_elite)
+        # Children of a pair that was not crossed keep the parameters of their parent.
+        own = parents.join(params, "cand_id").filter(~_spliced(F.col("pair"), crossover_probability, mark))
+        own = own.select((F.col("pair") * 2 + F.col("side") + n_elite).alias("cand_id"), F.col("alpha").alias("_own"))
+        drawn = drawn.join(own, "cand_id", "left").select("cand_id", F.coalesce("_own", "alpha").alias("alpha"))
         held = params.join(F.broadcast(ranked), "cand_id").select(F.col("place").alias("cand_id"), "alpha")
         population = stage(kept.unionByName(born), "population")
         params = stage(held.unionByName(drawn), "params")

@@ -174,17 +174,21 @@ def linear_svm(vectors, labels, size, c=1.0, class_weight="balanced", max_iter=1
         table = feature_map(table)
     part = F.conv(F.substring(hash_key(seed, F.col("doc_id")), 1, 8), 16, 10).cast("long") % cv
     table = stage(table.withColumn("part", part), "train")
-    n = table.count()
-    # The loss is averaged over rows, so a penalty of 1 / (C n) gives C.
-    svc = mlc.LinearSVC(labelCol="code", weightCol="weight", regParam=1.0 / (c * n), maxIter=max_iter, standardization=False)
+    # The loss is averaged over the weights, so a penalty of 1 / (C * their sum) gives C.
+    heavy = {r["part"]: r["w"] for r in table.groupBy("part").agg(F.sum("weight").alias("w")).collect()}
+    whole = sum(heavy.values())
+
+    def svc(weight: float) -> mlc.LinearSVC:
+        return mlc.LinearSVC(labelCol="code", weightCol="weight", regParam=1.0 / (c * weight), maxIter=max_iter, standardization=False)
+
     targets = [1] if len(order) == 2 else range(len(order))
     models, sigmoids = [], []
     for t in targets:
         binary = table.withColumn("code", (F.col("code") == float(t)).cast("double"))
-        models.append(svc.fit(binary))
+        models.append(svc(whole).fit(binary))
         held = None
         for f in range(cv):
-            fold = svc.fit(binary.filter(F.col("part") != f))
+            fold = svc(whole - heavy.get(f, 0.0)).fit(binary.filter(F.col("part") != f))
             part_rows = _margin(fold, binary.filter(F.col("part") == f), "m", ["code"])
             held = part_rows if held is None else held.unionByName(part_rows)
         ready = held.select("code", array_to_vector(F.array("m")).alias("features"))

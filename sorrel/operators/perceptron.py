@@ -37,15 +37,28 @@ class Perceptron:
 
 
 def fit_perceptron(
-    vectors: DataFrame, labels: DataFrame, size: int, iterations: int = 10, shards: int | None = None, seed: int = 42
+    vectors: DataFrame,
+    labels: DataFrame,
+    size: int,
+    iterations: int = 10,
+    shard_rows: int = 10_000,
+    seed: int = 42,
+    alpha: float = 0.0001,
+    penalty: str | None = None,
 ) -> Perceptron:
     """Each shard runs one pass from the shared weights; the shards' means follow.
 
-    The driver holds labels x selected features weights, never documents.
+    Documents are dealt to shards of about ``shard_rows`` by a hash of their id and
+    passed in the order of another hash, so neither the packing of files nor the
+    number of partitions changes the result.  ``alpha`` is the strength of
+    ``penalty`` (``l2``, or none): every step shrinks the weights by that share.  The
+    driver holds labels x selected features weights, never documents.
     """
+    if penalty not in (None, "l2"):
+        raise ValueError(f"unknown penalty: {penalty}")
     order = in_order(r["label"] for r in labels.select("label").distinct().collect())
-    spark = vectors.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-labels.count() // shard_rows))
+    decay = 1.0 - alpha if penalty == "l2" else 1.0
     key = ["doc_id", "copy"] if "copy" in labels.columns else ["doc_id"]
     pair = F.collect_list(F.struct(F.col("feature_id").cast("int").alias("i"), "value"))
     code = F.array_position(F.array(*[F.lit(v) for v in order]), F.col("label")) - 1
@@ -58,29 +71,29 @@ def fit_perceptron(
         F.coalesce(F.transform("_p", lambda x: x["i"]), F.array().cast("array<int>")).alias("ids"),
         F.coalesce(F.transform("_p", lambda x: x["value"]), F.array().cast("array<double>")).alias("vals"),
     )
-    rows = stage(rows.repartition(shards, "shard").sortWithinPartitions("at"), "shards")
+    rows = stage(rows, "shards")
     k = len(order)
     weights = np.zeros((k, size + 1))
     for _ in range(iterations):
         start = weights
 
-        def train(batches, start=start):
-            w, seen = start.copy(), False
-            for pdf in batches:
-                seen = seen or len(pdf) > 0
-                for target, ids, vals in zip(pdf["code"], pdf["ids"], pdf["vals"]):
-                    # One machine per label: wrong side of its margin, then a step.
-                    at = np.append(np.asarray(ids, np.int64), size)
-                    x = np.append(np.asarray(vals, float), 1.0)
-                    sign = np.where(np.arange(k) == target, 1.0, -1.0)
-                    wrong = sign * (w[:, at] @ x) <= 0
-                    if wrong.any():
-                        w[np.ix_(wrong, at)] += np.outer(sign[wrong], x)
-            if seen:
-                code, feature = np.nonzero(w)
-                yield pd.DataFrame({"code": np.append(code, -1), "feature_id": np.append(feature, -1), "w": np.append(w[code, feature], 1.0)})
+        def train(pdf):
+            w = start.copy()
+            pdf = pdf.sort_values(["at", "code"], kind="stable")
+            for target, ids, vals in zip(pdf["code"], pdf["ids"], pdf["vals"]):
+                # One machine per label: wrong side of its margin, then a step.
+                at = np.append(np.asarray(ids, np.int64), size)
+                x = np.append(np.asarray(vals, float), 1.0)
+                sign = np.where(np.arange(k) == target, 1.0, -1.0)
+                wrong = sign * (w[:, at] @ x) <= 0
+                if decay != 1.0:
+                    w[:, :size] *= decay
+                if wrong.any():
+                    w[np.ix_(wrong, at)] += np.outer(sign[wrong], x)
+            code, feature = np.nonzero(w)
+            return pd.DataFrame({"code": np.append(code, -1), "feature_id": np.append(feature, -1), "w": np.append(w[code, feature], 1.0)})
 
-        mixed = rows.mapInPandas(train, "code long, feature_id long, w double")
+        mixed = rows.groupBy("shard").applyInPandas(train, "code long, feature_id long, w double")
         parts = mixed.groupBy("code", "feature_id").agg(F.sum("w").alias("w")).collect()
         count = next((r["w"] for r in parts if r["code"] < 0), 1.0)
         weights = np.zeros((k, size + 1))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from sorrel.operators import evolve, folds as fold_ops, learners, naive_bayes as nb, neighbours, ngrams, ordinal, perceptron
 from sorrel.operators import preprocess, report, stacking, weights
 from sorrel.operators.baseline import random_baseline
 from sorrel.operators.instances import label_list, predictions
-from sorrel.operators.ngrams import KEY
 from sorrel.operators.scaling import apply_minmax, fit_minmax
 from sorrel.plans.settings import Settings
-from sorrel.plans.staging import stage
+from sorrel.plans.staging import assign_position, small_side, stage
 
 
 def featurize(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -56,13 +57,51 @@ ML = {
 CLASSIFIERS = ["random", "naive_bayes", "knn", "perceptron", "linreg", *ML]
 
 
-def _scaled(settings: Settings, train, train_docs, test, test_docs):
+@dataclass
+class Fitted:
+    """All that the train documents fixed before a classifier is trained."""
+
+    vectorizer: weights.Vectorizer
+    scaler: DataFrame | None  # lower and upper bound of every selected feature
+    columns: DataFrame | None  # (feature_id, new_id) that evolution kept
+    options: dict  # of the classifier, with the search's parameters
+
+    @property
+    def size(self) -> int:
+        return self.vectorizer.size if self.columns is None else self.columns.count()
+
+
+def prepare(settings: Settings, name: str, features: DataFrame, labels: DataFrame) -> Fitted:
+    """Vectorise, then scale, then evolve: on train documents only."""
+    v, options = settings.vectors, dict(settings.options.get(name, {}))
+    model = weights.fit_vectorizer(
+        features, labels, v.weight, v.prune, v.select, v.select_threshold, v.balance, settings.seed
+    )
+    fitted = Fitted(model, None, None, options)
+    if v.scale:
+        fitted.scaler = stage(fit_minmax(model.train, model.train_labels.count()), "scaler")
+        ids = [c for c in ("doc_id", "copy") if c in model.train_labels.columns]
+        model.train = stage(apply_minmax(model.train, fitted.scaler, model.train_labels.select(*ids), v.min_scale, v.max_scale), "scaled")
+    if settings.evolution.ga:
+        fitted.columns, alpha = evolved_columns(model, settings)
+        model.train = _kept(model.train, fitted.columns)
+        if name == "naive_bayes":
+            fitted.options["alpha"] = alpha
+    return fitted
+
+
+def transform(fitted: Fitted, features: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """Any documents as the train documents' columns."""
     v = settings.vectors
-    if not v.scale:
-        return train, test
-    scaler = stage(fit_minmax(train, train_docs.count()), "scaler")
-    out = [apply_minmax(t, scaler, d, v.min_scale, v.max_scale) for t, d in ((train, train_docs), (test, test_docs))]
-    return out[0], out[1]
+    out = weights.apply_vectorizer(fitted.vectorizer, features)
+    if fitted.scaler is not None:
+        out = apply_minmax(out, fitted.scaler, docs, v.min_scale, v.max_scale)
+    return out if fitted.columns is None else _kept(out, fitted.columns)
+
+
+def _kept(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    joined = rows.join(small_side(columns), "feature_id")
+    return joined.withColumn("feature_id", F.col("new_id")).select(*rows.columns)
 
 
 def trainer(settings: Settings, classifier: str | None = None):
@@ -70,44 +109,54 @@ def trainer(settings: Settings, classifier: str | None = None):
     name = classifier or settings.classifier
     if name not in CLASSIFIERS:
         raise ValueError(f"unknown classifier: {name}")
-    options = dict(settings.options.get(name, {}))
-    v = settings.vectors
 
     def train(features, labels, test_features, test_docs):
         if name == "random":
-            drawn = random_baseline(test_docs, labels, options.get("mode", "equal"), settings.seed)
+            mode = settings.options.get(name, {}).get("mode", "equal")
+            drawn = random_baseline(test_docs, labels, mode, settings.seed)
             return drawn.select("doc_id", F.col("prediction").alias("label"), F.lit(1.0).alias("prob"))
-        features, test_features = _scaled(settings, features, labels.select("doc_id"), test_features, test_docs)
-        fitted = weights.fit_vectorizer(
-            features, labels, v.weight, v.prune, v.select, v.select_threshold, v.balance, settings.seed
-        )
-        test = weights.apply_vectorizer(fitted, test_features)
-        return score(name, options, fitted, test, test_docs, settings)
+        fitted = prepare(settings, name, features, labels)
+        test = transform(fitted, test_features, test_docs.select("doc_id"), settings)
+        return score(name, fitted, test, test_docs, settings)
 
     return train
 
 
-def score(name, options, fitted, test, test_docs, settings) -> DataFrame:
-    """Fit one classifier on the vectorised train set and score the test set."""
-    train, labels, size = fitted.train, fitted.train_labels, fitted.size
+def model_of(name: str, fitted: Fitted, settings: Settings):
+    """The fitted classifier itself; k-NN and the random baseline have none."""
+    train, labels = fitted.vectorizer.train, fitted.vectorizer.train_labels
+    size, options = fitted.size, fitted.options
     if name == "naive_bayes":
-        model = nb.fit_naive_bayes(train, labels, vocab_size=size, **options)
-        return model.scores(test, test_docs)
+        return nb.fit_naive_bayes(train, labels, vocab_size=size, **options)
+    if name == "perceptron":
+        return perceptron.fit_perceptron(train, labels, size, seed=settings.seed, **options)
+    if name == "linreg":
+        return learners.linear_regression(train, numeric_labels(labels), size, **options)
+    return ML[name](train, labels, size, **options) if name in ML else None
+
+
+def numeric_labels(labels: DataFrame) -> DataFrame:
+    """``label_num`` of every row, from the label where it is not given; a label that is no number is an error."""
+    given = F.col("label_num") if "label_num" in labels.columns else F.lit(None).cast("double")
+    return labels.withColumn("label_num", F.coalesce(given, F.col("label").cast("string").cast("double")))
+
+
+def score(name, fitted: Fitted, test, test_docs, settings) -> DataFrame:
+    """Fit one classifier on the vectorised train set and score the test set."""
+    train, labels = fitted.vectorizer.train, fitted.vectorizer.train_labels
     if name == "knn":
         if "copy" in labels.columns:
             raise ValueError("k-NN takes no balanced copies")
-        return neighbours.knn(train, labels, test, test_docs.select("doc_id"), size, **options)
-    if name == "perceptron":
-        return perceptron.fit_perceptron(train, labels, size, seed=settings.seed, **options).scores(test, test_docs)
+        return neighbours.knn(train, labels, test, test_docs.select("doc_id"), fitted.size, **fitted.options)
+    model = model_of(name, fitted, settings)
     if name == "linreg":
-        numeric = labels.withColumn("label_num", F.coalesce(F.col("label_num") if "label_num" in labels.columns else F.col("label").cast("double"), F.lit(0.0)))
-        guessed = learners.linear_regression(train, numeric, size, **options).predict(test, test_docs)
+        guessed = model.predict(test, test_docs)
         if settings.linear_raw:
-            named = ordinal.translate_numeric(guessed, numeric)
+            named = ordinal.translate_numeric(guessed, numeric_labels(labels))
         else:
             named = ordinal.nearest_ordinal(guessed).withColumn("prediction", F.col("prediction").cast("string"))
         return named.select("doc_id", F.col("prediction").alias("label"), F.lit(1.0).alias("prob"))
-    return ML[name](train, labels, size, **options).scores(test, test_docs)
+    return model.scores(test, test_docs)
 
 
 def run_trainer(settings: Settings, external: DataFrame | None = None):
@@ -151,7 +200,7 @@ def validate(features: DataFrame, labels: DataFrame, settings: Settings, externa
     """
     f, v = settings.folds, settings.vectors
     folds = stage(fold_ops.make_folds(labels, f.n, f.steps, f.teststart, f.testend), "folds")
-    plain = v.weight in ("frequency", "binary") and not (v.select or v.balance or v.scale or settings.ensemble or external is not None)
+    plain = v.weight in ("frequency", "binary") and not (v.select or v.balance or v.scale or settings.evolution.ga or settings.ensemble or external is not None)
     if settings.classifier == "naive_bayes" and plain:
         options = settings.options.get("naive_bayes", {})
         rows = weights.weight_binary(features) if v.weight == "binary" else features
@@ -161,15 +210,9 @@ def validate(features: DataFrame, labels: DataFrame, settings: Settings, externa
 
 
 def train_full_model(features: DataFrame, labels: DataFrame, settings: Settings):
-    """The vectoriser and, for naive Bayes and ML learners, the model of all data."""
-    v = settings.vectors
-    fitted = weights.fit_vectorizer(features, labels, v.weight, v.prune, v.select, v.select_threshold, v.balance, settings.seed)
-    options = settings.options.get(settings.classifier, {})
-    if settings.classifier == "naive_bayes":
-        return fitted, nb.fit_naive_bayes(fitted.train, fitted.train_labels, vocab_size=fitted.size, **options)
-    if settings.classifier in ML:
-        return fitted, ML[settings.classifier](fitted.train, fitted.train_labels, fitted.size, **options)
-    return fitted, None
+    """The fitted preparation and the model of all data; the model is None for learners that keep none."""
+    fitted = prepare(settings, settings.classifier, features, labels)
+    return fitted, model_of(settings.classifier, fitted, settings)
 
 
 def run_pipeline(
@@ -183,15 +226,15 @@ def run_pipeline(
     """Train, test and report, or validate in folds where no test set is given.
 
     ``append`` holds external features of train and test documents.  With an
-    ensemble or append the run is stacked or joined accordingly.
+    ensemble or append the run is stacked or joined accordingly.  With
+    ``settings.full_model`` the model of all labelled documents is returned beside
+    the tables, as ``fitted`` and ``model``.
     """
     settings = settings or Settings()
     keep = ["doc_id", "label"] + (["label_num"] if "label_num" in labels.columns else [])
     labels = stage(labels.select(*keep), "labels")
     # Test ids may repeat train ids, so both sets are featurised apart.
     train = featurize(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), settings)
-    if settings.evolution.ga:
-        train = evolved_features(train, labels, settings)
     if test_docs is None:
         scores = stage(validate(train, labels, settings, append), "cv")
         out = reports(scores.drop("fold"), labels, settings.ordinal)
@@ -199,6 +242,8 @@ def run_pipeline(
         per_fold = report.performance(pairs, by=["fold"])
         out["fold_performance"] = per_fold
         out["fold_summary"] = report.fold_summary(per_fold)
+        if settings.full_model:
+            out["fitted"], out["model"] = train_full_model(train, labels, settings)
         return out
     test = featurize(test_docs, settings)
     scores = stage(run_trainer(settings, append)(train, labels, test, test_docs.select("doc_id")), "scores")
@@ -207,19 +252,22 @@ def run_pipeline(
     return reports(scores, test_labels, settings.ordinal)
 
 
-def evolved_features(features: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """Only the features of the fittest candidate (the first one on a tie)."""
-    e, v = settings.evolution, settings.vectors
-    fitted = weights.fit_vectorizer(features, labels, "frequency", v.prune)
-    options = settings.options.get("naive_bayes", {})
-    alphas = options.get("alpha", 1.0)
+def evolved_columns(model: weights.Vectorizer, settings: Settings) -> tuple[DataFrame, float]:
+    """``(feature_id, new_id)`` of the fittest candidate (the first one on a tie), and its smoothing."""
+    e = settings.evolution
+    alphas = settings.options.get("naive_bayes", {}).get("alpha", 1.0)
+    rows, labels = model.train, model.train_labels
+    if "copy" in labels.columns:
+        # Balanced copies are documents of their own here.
+        ids = assign_position(labels.select("doc_id", "copy", "label"), [F.col("doc_id").asc(), F.col("copy").asc()], "_id")
+        rows = rows.join(ids.drop("label"), ["doc_id", "copy"]).select(F.col("_id").alias("doc_id"), "feature_id", "value")
+        labels = ids.select(F.col("_id").alias("doc_id"), "label")
     found = evolve.evolve(
-        fitted.train, labels, fitted.size, e.metric, e.num_iterations, e.population_size, e.elite, e.crossover_probability,
+        rows, labels, model.size, e.metric, e.num_iterations, e.population_size, e.elite, e.crossover_probability,
         e.mutation_rate, e.tournament_size, e.n_crossovers, e.stop_condition, e.weight_feature_size,
         alphas if isinstance(alphas, (list, tuple)) else (alphas,), e.sampling, e.samplesize, settings.folds.steps, settings.seed,
     )
-    best = found.best_features
-    first = best.agg(F.min("cand_id").alias("c")).first()["c"]
-    ids = best.filter(F.col("cand_id") == first).select("feature_id")
-    kept = fitted.selection.join(F.broadcast(ids), "feature_id", "left_semi").select(*KEY)
-    return stage(features.join(F.broadcast(kept), KEY, "left_semi"), "evolved")
+    first = found.best_parameters.orderBy("cand_id").first()
+    ids = found.best_features.filter(F.col("cand_id") == first["cand_id"]).select("feature_id")
+    placed = assign_position(ids, [F.col("feature_id").asc()], "_new")
+    return stage(placed.select("feature_id", F.col("_new").cast("int").alias("new_id")), "evolved"), first["alpha"]

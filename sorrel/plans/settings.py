@@ -75,6 +75,7 @@ class Settings:
     ensemble: tuple = ()
     ordinal: bool = False
     linear_raw: bool = False
+    full_model: bool = False  # beside validation, the model of all documents
     iterations: int = 10
     scoring: str = "roc_auc"
     seed: int = 42

@@ -14,7 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-# A table of at most this many rows may be broadcast.
+# A table of at most this many bytes may be broadcast, and of no more rows than this.
+BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 500_000
 # The largest number of keys that the hot part of a split join can hold.
 HOT_KEYS = 20_000
@@ -78,17 +79,39 @@ def keeps_documents(df: DataFrame) -> DataFrame:
     return df
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows.
+def row_bytes(df: DataFrame):
+    """Bytes of a row in the driver's hash table, from its types and the lengths of its texts and lists."""
 
-    A staged table is counted once, from its file footers; any other table is
-    counted no further than the limit.
+    def width(column, kind):
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 24
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+                inner = F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + width(x, kind.elementType))
+                return F.coalesce(inner, F.lit(0)) + 32
+            return F.greatest(F.size(column), F.lit(0)) * 8 + 32
+        if isinstance(kind, T.MapType):
+            return width(F.map_keys(column), T.ArrayType(kind.keyType)) + width(F.map_values(column), T.ArrayType(kind.valueType))
+        if isinstance(kind, T.StructType):
+            return sum((width(column[f.name], f.dataType) for f in kind.fields), F.lit(16))
+        return F.lit(8)
+
+    return sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(32)).cast("long")
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes.
+
+    A staged table is measured once; of any other table no more than
+    ``rows + 1`` rows are looked at.
     """
     if getattr(df, "_staged", False):
-        if getattr(df, "_rows", None) is None:
-            df._rows = df.count()
-        return df._rows <= rows
-    return df.limit(rows + 1).count() <= rows
+        if getattr(df, "_size", None) is None:
+            df._size = tuple(df.agg(F.count("*"), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first())
+        n, held = df._size
+    else:
+        n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return n <= rows and held <= size
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -56,10 +58,11 @@ def read_tokenised(spark: SparkSession, path: str, multiline: bool = True) -> Da
 
 
 def parse_number(text: Column) -> Column:
-    """Number with a decimal point or comma; a missing mark or no number is 0.0."""
+    """Number with a decimal point or comma; a missing mark or an empty cell is 0.0, anything else an error."""
     clean = F.trim(text)
     value = F.regexp_replace(clean, ",", ".").try_cast("double")
-    return F.when(clean.isin(MISSING), F.lit(0.0)).otherwise(F.coalesce(value, F.lit(0.0)))
+    bad = F.raise_error(F.concat(F.lit("not a number: "), clean)).cast("double")
+    return F.when(clean.isNull() | (clean == "") | clean.isin(MISSING), F.lit(0.0)).when(value.isNull(), bad).otherwise(value)
 
 
 def feature_columns(wide: DataFrame, key: str = "doc_id", ftype: str = "csv") -> DataFrame:
@@ -71,11 +74,17 @@ def feature_columns(wide: DataFrame, key: str = "doc_id", ftype: str = "csv") ->
 
 
 def read_feature_csv(spark: SparkSession, path: str, sep: str = ",", names: list[str] | None = None) -> DataFrame:
-    """Delimited numbers, one document per line; the columns are named or numbered."""
+    """Delimited numbers, one document per line; the columns are named or numbered.
+
+    The widest line sets how many columns there are; shorter lines lack the last
+    ones.  A line with more cells than ``names`` is an error.
+    """
     lines = _lines(spark, path, "line")
+    width = lines.agg(F.max(F.size(F.split("line", re.escape(sep))))).first()[0] or 0
     if names is None:
-        first = lines.filter("doc_id = 0").first()["line"]
-        names = [f"c{i}" for i in range(len(first.split(sep)))]
+        names = [f"c{i}" for i in range(width)]
+    elif width > len(names):
+        raise ValueError(f"a line has {width} cells, {len(names)} are named")
     schema = ", ".join(f"`{n}` string" for n in names)
     cells = lines.select("doc_id", F.from_csv("line", schema, {"sep": sep}).alias("r")).select("doc_id", "r.*")
     return feature_columns(cells)

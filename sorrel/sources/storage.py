@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import classification as mlc
+import numpy as np
+from pyspark.ml import classification as mlc, regression as mlr
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sorrel.operators.learners import Learner, OneVsRestLearner, PlattLearner
+from sorrel.operators.learners import Learner, OneVsRestLearner, PlattLearner, RegressionLearner
 from sorrel.operators.naive_bayes import NaiveBayes
+from sorrel.operators.perceptron import Perceptron
 
 
 def write_features(features: DataFrame, vocabulary: DataFrame, path: str) -> None:
@@ -55,6 +57,16 @@ def save_model(model, path: str, spark: SparkSession) -> None:
         _put(spark, path, {"kind": "naive_bayes", **{n: getattr(model, n) for n in names}})
         model.table.write.mode("overwrite").parquet(f"{path}/counts")
         return
+    if isinstance(model, Perceptron):
+        _put(spark, path, {"kind": "perceptron", "labels": model.labels, "size": model.weights.shape[1]})
+        code, column = model.weights.nonzero()
+        cells = [(int(c), int(i), float(model.weights[c, i])) for c, i in zip(code, column, strict=True)]
+        spark.createDataFrame(cells, "code int, feature_id int, w double").write.mode("overwrite").parquet(f"{path}/weights")
+        return
+    if isinstance(model, RegressionLearner):
+        _put(spark, path, {"kind": "regression", "size": model.size, "part": type(model.model).__name__})
+        model.model.write().overwrite().save(f"{path}/part0")
+        return
     if model.transform_vectors is not None:
         raise ValueError("a learner with a feature map is refitted, not saved")
     parts = model.models if isinstance(model, OneVsRestLearner) else [model.model]
@@ -71,6 +83,13 @@ def load_model(path: str, spark: SparkSession):
     kind = facts.pop("kind")
     if kind == "naive_bayes":
         return NaiveBayes(table=spark.read.parquet(f"{path}/counts"), **facts)
+    if kind == "perceptron":
+        weights = np.zeros((len(facts["labels"]), facts["size"]))
+        for r in spark.read.parquet(f"{path}/weights").collect():  # as many as the model in the driver holds
+            weights[r["code"], r["feature_id"]] = r["w"]
+        return Perceptron(facts["labels"], weights)
+    if kind == "regression":
+        return RegressionLearner(getattr(mlr, facts["part"]).load(f"{path}/part0"), facts["size"])
     parts = [getattr(mlc, name).load(f"{path}/part{i}") for i, name in enumerate(facts["parts"])]
     common = (facts["labels"], facts["size"], facts["settings"])
     if kind == "PlattLearner":

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,11 +240,103 @@ def test_evolution_stops_and_reports(spark, corpus):
 def test_perceptron_averages_its_shards(spark, corpus):
     docs, l = corpus
     fitted = weights.fit_vectorizer(pipeline.featurize(docs, PLAIN), l)
-    model = perceptron.fit_perceptron(fitted.train, l, fitted.size, 5, shards=3)
+    model = perceptron.fit_perceptron(fitted.train, l, fitted.size, 5, shard_rows=30)
     right = predictions(model.scores(fitted.train, docs)).join(l, "doc_id").filter("prediction = label").count()
     assert right > 80
 
 
+def test_perceptron_does_not_depend_on_partitions(spark, corpus):
+    docs, l = corpus
+    fitted = weights.fit_vectorizer(pipeline.featurize(docs, PLAIN), l)
+    found = []
+    for size, parts in (("4k", "3"), ("128m", "8")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append(perceptron.fit_perceptron(fitted.train, l, fitted.size, 4, shard_rows=25).weights)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert np.allclose(*found) and found[0].any()
+
+
+def test_perceptron_penalty_shrinks_weights(spark, corpus):
+    docs, l = corpus
+    fitted = weights.fit_vectorizer(pipeline.featurize(docs, PLAIN), l)
+    plain, small = (perceptron.fit_perceptron(fitted.train, l, fitted.size, 3, alpha=0.05, penalty=p).weights for p in (None, "l2"))
+    assert np.abs(small[:, :-1]).sum() < np.abs(plain[:, :-1]).sum()
+
+
+def test_perceptron_and_regression_survive_storage(spark, corpus, tmp_path):
+    docs, l = corpus
+    fitted = weights.fit_vectorizer(pipeline.featurize(docs, PLAIN), l)
+    model = perceptron.fit_perceptron(fitted.train, l, fitted.size, 2)
+    storage.save_model(model, str(tmp_path / "p"), spark)
+    assert (storage.load_model(str(tmp_path / "p"), spark).weights == model.weights).all()
+    numeric = pipeline.numeric_labels(l.withColumn("label", F.ascii("label").cast("string")))
+    line = learners.linear_regression(fitted.train, numeric, fitted.size)
+    storage.save_model(line, str(tmp_path / "r"), spark)
+    back = storage.load_model(str(tmp_path / "r"), spark)
+    assert sorted(map(tuple, back.predict(fitted.train, docs).collect())) == sorted(map(tuple, line.predict(fitted.train, docs).collect()))
+
+
+def test_scaling_follows_pruning(spark, corpus):
+    docs, l = corpus
+    f = pipeline.featurize(docs, PLAIN)
+    plain, scaled = (
+        pipeline.prepare(Settings(vectors=Vectors(prune=10, scale=s, min_scale=m)), "naive_bayes", f, l) for s, m in ((False, 0.0), (True, -1.0))
+    )
+    names = [{r["feature"] for r in x.vectorizer.selection.collect()} for x in (plain, scaled)]
+    assert names[0] == names[1] and len(names[0]) == 10
+    values = scaled.vectorizer.train.agg(F.min("value"), F.max("value")).first()
+    assert values[0] == -1.0 and values[1] == 1.0
+    again = pipeline.transform(scaled, f, docs.select("doc_id"), Settings(vectors=Vectors(prune=10, scale=True, min_scale=-1.0)))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, scaled.vectorizer.train.select(*again.columns).collect()))
+
+
+def test_evolution_never_sees_the_test_fold(spark, corpus):
+    docs, l = corpus
+    f = pipeline.featurize(docs, PLAIN)
+    settings = Settings(vectors=Vectors(prune=12), evolution=Evolution(ga=True, num_iterations=1, population_size=4))
+    train, test = l.filter("doc_id < 60"), l.filter("doc_id >= 60")
+    run = pipeline.trainer(settings)
+    a = run(f, train, f, test.select("doc_id")).collect()
+    b = run(f, train, f, test.withColumn("label", F.lit("a")).select("doc_id")).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    fitted = pipeline.prepare(settings, "naive_bayes", f, train)
+    assert 1 <= fitted.size <= 12 and fitted.vectorizer.train.agg(F.max("feature_id")).first()[0] < fitted.size
+
+
+def test_search_hands_its_smoothing_on(spark, corpus):
+    docs, l = corpus
+    f = pipeline.featurize(docs, PLAIN)
+    settings = Settings(
+        options={"naive_bayes": {"alpha": [0.5, 2.0]}}, evolution=Evolution(ga=True, num_iterations=1, population_size=4), vectors=Vectors(prune=12, balance=True)
+    )
+    fitted, model = pipeline.train_full_model(f, l, settings)
+    assert fitted.options["alpha"] in (0.5, 2.0) and model.alpha == fitted.options["alpha"]
+
+
+def test_split_holds_every_label_and_cuts_are_distinct(spark):
+    l = labels(spark, "a" * 50 + "b" * 3 + "c")
+    sample = evolve.train_test_sample(l, 0.9)
+    parts = {(r["label"], r["train"]): r["n"] for r in sample.groupBy("label", "train").agg(F.count("*").alias("n")).collect()}
+    assert parts == {("a", True): 45, ("a", False): 5, ("b", True): 2, ("b", False): 1, ("c", False): 1}
+    full = spark.createDataFrame([(0, i) for i in range(6)], "cand_id long, feature_id int")
+    pairs = spark.createDataFrame([(p, s, s) for p in range(40) for s in (0, 1)], "pair long, side int, cand_id long")
+    children = evolve.crossover(full, pairs, 6, points=3, probability=1.0)
+    # Parent 0 has all bits and parent 1 none, so a child's runs show its cuts: with three distinct ones four runs, the first perhaps empty.
+    for r in children.groupBy("child").agg(F.sort_array(F.collect_list("feature_id")).alias("ids")).collect():
+        bits = [i in r["ids"] for i in range(6)]
+        assert sum(a != b for a, b in zip(bits, bits[1:])) >= 2
+
+
+def test_pairs_that_are_not_crossed_stay_as_they_are(spark):
+    population = stage(evolve.random_population(spark, 12, 6))
+    pairs = spark.createDataFrame([(p, s, 2 * p + s) for p in range(3) for s in (0, 1)], "pair long, side int, cand_id long")
+    children = evolve.crossover(population, pairs, 12, probability=0.0)
+    out = evolve.mutate(children, 6, 12, rate=0.9, probability=0.0)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, population.collect()))
+
+
 def test_settings_reach_the_pipeline(spark, corpus):
     docs, l = corpus
     settings = Settings(

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from sorrel.operators import ngrams, preprocess
 from sorrel.sources import documents as src
 
@@ -91,3 +93,14 @@ def test_feature_csv_reads_commas_and_missing_marks(spark, tmp_path):
     (tmp_path / "f.csv").write_text("1,5;NA;2\n#NULL!;3;0\n")
     rows = src.read_feature_csv(spark, str(tmp_path / "f.csv"), ";", ["a", "b", "c"])
     assert counts(rows) == {(0, "a"): 1.5, (0, "c"): 2.0, (1, "b"): 3.0}
+
+
+def test_unreadable_numbers_and_wide_lines_are_errors(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("1;2\n3;x\n")
+    with pytest.raises(Exception, match="not a number"):
+        src.read_feature_csv(spark, str(tmp_path / "bad.csv"), ";").collect()
+    (tmp_path / "wide.csv").write_text("1;2\n3;4;5\n;NA;7\n")
+    got = {(r["doc_id"], r["feature"]): r["value"] for r in src.read_feature_csv(spark, str(tmp_path / "wide.csv"), ";").collect()}
+    assert got == {(0, "c0"): 1.0, (0, "c1"): 2.0, (1, "c0"): 3.0, (1, "c1"): 4.0, (1, "c2"): 5.0, (2, "c2"): 7.0}
+    with pytest.raises(ValueError, match="3 cells"):
+        src.read_feature_csv(spark, str(tmp_path / "wide.csv"), ";", ["a", "b"])

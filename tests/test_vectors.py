@@ -226,3 +226,10 @@ def test_all_pairs_stay_in_the_range_of_su(spark):
     table = spark.createDataFrame([("t", n, i) for i, n in enumerate(names)], "ftype string, feature string, fid long")
     got = fs.pair_su(f, table, len(classes)).collect()
     assert len(got) == len(list(itertools.combinations(names, 2))) and all(-1e-9 <= r["su"] <= 1 + 1e-9 for r in got)
+
+
+def test_broadcasts_are_bound_by_bytes(spark):
+    few = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array_repeat(F.lit(1.0), 100).alias("v"))
+    assert staging.fits(few) and not staging.fits(few, rows=9) and not staging.fits(few, size=10_000)
+    staged = staging.stage(few)
+    assert staging.fits(staged) and not staging.fits(staged, size=10_000) and staging.fits(staged, size=30_000)

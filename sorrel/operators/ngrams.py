@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from sorrel.functions import text as tx
-from sorrel.plans.staging import assign_position, by_document, skew_join, stage
+from sorrel.plans.staging import assign_position, by_document, skew_join, small_side, stage
 
 KEY = ["ftype", "feature"]
 # A longer list of excluded words is joined as a table.
@@ -76,12 +76,18 @@ def char_ngrams(docs: DataFrame, n_list=(1, 2, 3), min_count: int = 1, exclude=N
 
 
 def exclude_features(features: DataFrame, words) -> DataFrame:
-    """Drop every n-gram that holds an excluded word (a list or ``(word)`` table)."""
+    """Drop every n-gram that holds an excluded word (a list or ``(word)`` table).
+
+    The vocabulary is cut first; the rows then follow by a join that leaves frequent
+    features unshuffled.
+    """
     if isinstance(words, DataFrame):
-        parts = features.select("feature").distinct()
-        parts = parts.select("feature", F.explode(F.split("feature", " ")).alias("word"))
-        bad = parts.join(words.select("word").distinct(), "word", "left_semi").select("feature").distinct()
-        return features.join(bad, "feature", "left_anti").select(*features.columns)
+        features = stage(features, "counts")
+        known = stage(features.groupBy("feature").agg(F.count("*").alias("df")), "known")
+        parts = known.select("feature", F.explode(F.split("feature", " ")).alias("word"))
+        bad = parts.join(small_side(words.select("word").distinct()), "word", "left_semi").select("feature").distinct()
+        kept = stage(known.join(bad, "feature", "left_anti"), "kept")
+        return skew_join(features, kept, ["feature"], how="left_semi").select(*features.columns)
     words = list(words)
     if not words:
         return features

@@ -12,12 +12,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sorrel.functions import stats
 from sorrel.operators.ngrams import KEY
 from sorrel.operators.weights import label_correlation, label_frequency
-from sorrel.plans.staging import fits, skew_join, small_side, stage
+from sorrel.plans.staging import assign_position, fits, skew_join, small_side, stage
 
 _LOG = {2: F.log2, 10: F.log10, "e": F.log}
 # Columns of one block of the pairwise matrix.
@@ -186,8 +186,7 @@ def feature_correlation(features: DataFrame, n_docs: int) -> DataFrame:
 def _column_sums(features: DataFrame, n_docs: int) -> DataFrame:
     v = F.col("value")
     sums = features.groupBy(*KEY).agg(F.count("*").alias("df"), F.sum(v).alias("sx"), F.sum(v * v).alias("sxx"))
-    # A selection holds few features; they are numbered by name.
-    return sums.withColumn("fid", (F.row_number().over(Window.orderBy(*KEY)) - 1).cast("long"))
+    return assign_position(sums, [F.col(c).asc() for c in KEY], "fid")
 
 
 def _pair_r(table: DataFrame, sums: DataFrame, size: int, n_docs: int) -> DataFrame:
@@ -215,7 +214,7 @@ def pair_su(features: DataFrame, table: DataFrame, n_docs: int) -> DataFrame:
     own = _numbered(features, table)
     levels = own.groupBy("fid", "value").agg(F.count("*").alias("n"))
     # The lower level number belongs to the lower feature number.
-    levels = stage(levels.withColumn("lid", F.row_number().over(Window.orderBy("fid", "value")) - 1), "levels")
+    levels = stage(assign_position(levels, [F.col("fid").asc(), F.col("value").asc()], "lid"), "levels")
     size = levels.count()
     coded = skew_join(own, levels, ["fid", "value"], "n")
     rows = _sparse_rows(coded.select("doc_id", F.col("lid").alias("fid"), F.lit(1.0).alias("value")))

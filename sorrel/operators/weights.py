@@ -188,7 +188,11 @@ def fit_vectorizer(
     balanced: bool | str = False,
     seed: int = 42,
 ) -> Vectorizer:
-    """Weight, prune, select and balance the train documents, in that order."""
+    """Weight, prune, select and balance the train documents, in that order.
+
+    ``fcbf`` takes values for categories; tf-idf gives nearly every cell a value of
+    its own, so there the counts are the categories.
+    """
     from sorrel.operators import selection as fs
 
     features = stage(features.join(labels.select("doc_id"), "doc_id", "left_semi"), "train")
@@ -212,7 +216,8 @@ def fit_vectorizer(
 
     if select:
         if select == "fcbf":
-            chosen = fs.fcbf(vectors, labels, float(select_threshold or 0.0))
+            categories = select_features(features, pruned) if weight == "tfidf" else vectors
+            chosen = fs.fcbf(categories, labels, float(select_threshold or 0.0))
         elif select == "mrmr_linear":
             chosen = fs.mrmr_linear(vectors, labels, str(select_threshold))
         else:

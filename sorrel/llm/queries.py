@@ -145,6 +145,5 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     chain = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
     found = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"), chain)
     return found.select(
-        "doc_id", F.round("p_low_quality", 4).alias("p_low_quality"), F.round("p_toxic", 4).alias("p_toxic"),
-        (F.col("p_low_quality") >= 0.5).alias("low_quality"), (F.col("p_toxic") >= 0.5).alias("toxic"),
+        "doc_id", F.round("p_low_quality", 4).alias("p_low_quality"), F.round("p_toxic", 4).alias("p_toxic"), "low_quality", "toxic"
     )

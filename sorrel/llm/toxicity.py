@@ -39,6 +39,8 @@ STEMS = (3, 4, 5, 6)
 FOLDS = 5
 # A word or stem enters a model if its shares differ by so many standard errors, the clearest ones first.
 CLEAR, MOST = 5.0, 600
+# Texts of the sample that a word or stem has to occur in.
+SEEN = 3
 # Words that a task keeps with their features.
 WORDS = 300_000
 
@@ -80,10 +82,11 @@ class Chain(NamedTuple):
     categories: tuple[str, ...]
     models: list[Linear]
     numbers: dict[str, int]
+    limits: list[float]  # probability from which a text has the category
 
 
-def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, size: int, rounds: int = 150, ridge: float = 1.0) -> Linear:
-    """Ridge logistic regression by accelerated gradient steps, classes weighted alike."""
+def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, size: int, rounds: int = 200, ridge: float = 0.3) -> Linear:
+    """Ridge logistic regression by accelerated gradient steps."""
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
         share = n1 / len(y) if len(y) else 0.0
@@ -96,20 +99,34 @@ def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, size: i
     chosen = np.sort(np.argsort(-z, kind="stable")[: min(MOST, int((z >= CLEAR).sum()))])
     middle, scale = dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-3)
     x = np.hstack((presence(rows, chosen, size), standard(dense, middle, scale), np.ones((len(y), 1))))
-    cost = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
     # The largest curvature, by power steps and with room to spare.
     top = np.ones(x.shape[1])
     for _ in range(20):
-        top = x.T @ (cost * (x @ (top / np.linalg.norm(top))))
+        top = x.T @ (x @ (top / np.linalg.norm(top)))
     step = 1 / (0.3 * np.linalg.norm(top) + ridge)
     w = look = np.zeros(x.shape[1])
     for k in range(rounds):
-        slope = x.T @ (cost * (1 / (1 + np.exp(-np.clip(x @ look, -40, 40))) - y)) + ridge * look
+        slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ look, -40, 40))) - y) + ridge * look
         new = look - step * slope
         look, w = new + k / (k + 3) * (new - w), new
     return Linear(chosen, w, middle, scale)
 
 
+def best_limit(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability that parts the classes best, halfway between its neighbours.
+
+    Best is the F measure that counts precision twice as much as recall: a clean text lost weighs more.
+    """
+    if not y.any() or y.all():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    ranked, hits = p[order], np.cumsum(y[order])
+    cut = np.append(ranked[:-1] > ranked[1:], True)  # equal probabilities stay together
+    f = np.where(cut, 1.25 * hits / (np.arange(1, len(y) + 1) + 0.25 * y.sum()), -1)
+    k = int(f.argmax())
+    return float((ranked[k] + (ranked[k + 1] if k + 1 < len(p) else 0.0)) / 2)
+
+
 def presence(rows: list[np.ndarray], chosen: np.ndarray, size: int) -> np.ndarray:
     """Texts x chosen features, 1 where a text has the feature; features are below ``size``."""
     column = np.full(size, -1, np.int64)
@@ -126,11 +143,11 @@ def fit_chain(texts: list[str], labels: np.ndarray, categories: tuple[str, ...])
     words = [Counter(_WORD.findall(t.lower())) for t in texts]
     seen = [set().union(*map(features_of, w)) for w in words]
     often = Counter(f for s in seen for f in s)
-    numbers = {f: n for n, f in enumerate(sorted(f for f, c in often.items() if c >= 5))}
+    numbers = {f: n for n, f in enumerate(sorted(f for f, c in often.items() if c >= SEEN))}
     rows = [np.array(sorted(numbers[f] for f in s if f in numbers), np.int64) for s in seen]
     dense = np.array([shares(t, w) for t, w in zip(texts, words, strict=True)]).reshape(len(texts), 6)
     fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in texts], np.int64)
-    models = []
+    models, limits = [], []
     for j in range(len(categories)):
         y = labels[:, j].astype(float)
         models.append(fit_linear(rows, dense, y, len(numbers)))
@@ -140,12 +157,13 @@ def fit_chain(texts: list[str], labels: np.ndarray, categories: tuple[str, ...])
             if len(test):
                 part = fit_linear([rows[i] for i in train], dense[train], y[train], len(numbers))
                 outside[test] = part.probability(presence([rows[i] for i in test], part.chosen, len(numbers)), dense[test])
+        limits.append(best_limit(outside, y))
         dense = np.column_stack((dense, outside))
     # Only features that some model reads are sent to the tasks.
     used = np.unique(np.concatenate([m.chosen for m in models] or [np.zeros(0, np.int64)])).astype(np.int64)
     names = {n: f for f, n in numbers.items()}
     models = [m._replace(chosen=np.searchsorted(used, m.chosen)) for m in models]
-    return Chain(categories, models, {names[n]: k for k, n in enumerate(used.tolist())})
+    return Chain(categories, models, {names[n]: k for k, n in enumerate(used.tolist())}, limits)
 
 
 def predict(texts: list[str], chain: Chain, known: dict[str, tuple[int, ...]]) -> np.ndarray:
@@ -190,10 +208,11 @@ def toxicity(
     rows: int = 4000,
     row_chars: int = 8000,
 ) -> DataFrame:
-    """``(key, p_<category>...)``, one row per input row.
+    """``(key, p_<category>..., <category>...)``, one row per input row.
 
     ``columns`` gives, in the order of the chain, each category's 0/1 label as a
-    column of ``labels``.
+    column of ``labels``.  A text has a category from the probability on that
+    parts the classes best out of fold.
     """
     bounded(docs.sparkSession)
     chain = fit_chain(*sample(docs, labels, columns, key, text, rows, row_chars), tuple(columns))
@@ -206,4 +225,6 @@ def toxicity(
         for batch in batches:
             yield pd.DataFrame(predict(batch.fillna("").tolist(), sent.value, known), columns=names, index=batch.index)
 
-    return docs.select(F.col(key), score(F.col(text)).alias("_p")).select(key, *(f"_p.{n}" for n in names))
+    scored = docs.select(F.col(key), score(F.col(text)).alias("_p"))
+    has = [(F.col(f"_p.{n}") >= limit).alias(c) for n, c, limit in zip(names, columns, chain.limits, strict=True)]
+    return scored.select(key, *(f"_p.{n}" for n in names), *has)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,6 +11,7 @@ from sorrel.operators import preprocess, report, stacking, weights
 from sorrel.operators.baseline import random_baseline
 from sorrel.operators.instances import label_list, predictions
 from sorrel.operators.scaling import apply_minmax, fit_minmax
+from sorrel.plans import search
 from sorrel.plans.settings import Settings
 from sorrel.plans.staging import assign_position, small_side, stage
 
@@ -87,9 +88,23 @@ def prepare(settings: Settings, name: str, features: DataFrame, labels: DataFram
         model.train = _kept(model.train, fitted.columns)
         if name == "naive_bayes":
             fitted.options["alpha"] = alpha
+    if grid := search.grid_of(name, fitted.options):
+        fitted.options |= searched(name, fitted, grid, settings)[0]
     return fitted
 
 
+def searched(name: str, fitted: Fitted, grid: dict, settings: Settings) -> tuple[dict, list]:
+    """The best of the searched parameters, and all that were tried with their scores."""
+    base = fitted.vectorizer
+
+    def fit_score(setting, rows, labels, test, docs):
+        part = replace(base, train=rows, train_labels=labels)
+        return score(name, replace(fitted, vectorizer=part, options={**fitted.options, **setting}), test, docs, settings)
+
+    tried = search.settings_to_try(name, grid, settings.iterations, settings.seed)
+    return search.search(fit_score, base.train, base.train_labels, tried, settings.scoring, seed=settings.seed)
+
+
 def transform(fitted: Fitted, features: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """Any documents as the train documents' columns."""
     v = settings.vectors
@@ -201,8 +216,8 @@ def validate(features: DataFrame, labels: DataFrame, settings: Settings, externa
     f, v = settings.folds, settings.vectors
     folds = stage(fold_ops.make_folds(labels, f.n, f.steps, f.teststart, f.testend), "folds")
     plain = v.weight in ("frequency", "binary") and not (v.select or v.balance or v.scale or settings.evolution.ga or settings.ensemble or external is not None)
-    if settings.classifier == "naive_bayes" and plain:
-        options = settings.options.get("naive_bayes", {})
+    options = settings.options.get("naive_bayes", {})
+    if settings.classifier == "naive_bayes" and plain and not search.grid_of("naive_bayes", options):
         rows = weights.weight_binary(features) if v.weight == "binary" else features
         folded = fold_ops.FoldedBayes(rows, labels, folds, v.prune, options.get("fit_prior", False))
         return folded.scores(options.get("alpha", 1.0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sorrel.operators import evolve, folds as cv, learners, naive_bayes as nb, neighbours, ordinal, perceptron, report, stacking, weights
 from sorrel.operators.instances import predictions
-from sorrel.plans import pipeline
+from sorrel.plans import pipeline, search
 from sorrel.plans.settings import Append, Evolution, Features, Folds, Settings, Text, Vectors
 from sorrel.plans.staging import stage
 from sorrel.sources import storage
@@ -345,3 +345,42 @@ def test_settings_reach_the_pipeline(spark, corpus):
     )
     out = pipeline.run_pipeline(docs, l, settings=settings)
     assert out["performance"].filter("label = 'micro'").first()["f1"] > 0.5
+
+
+def test_roc_auc_against_pairs(spark):
+    rng = random.Random(3)
+    told = [rng.choice("abc") for _ in range(60)]
+    rows = [(s, n, c, round(rng.random(), 2)) for s in (0, 1) for n in range(60) for c in "abc"]
+    got = {r["setting"]: r["score"] for r in search.roc_auc(spark.createDataFrame(rows, "setting int, doc_id long, label string, prob double"), labels(spark, told)).collect()}
+    for s in (0, 1):
+        areas = []
+        for c in "abc":
+            p = {n: x for t, n, label, x in rows if t == s and label == c}
+            pairs = [(p[i], p[j]) for i in range(60) for j in range(60) if told[i] == c != told[j]]
+            areas.append(sum((a > b) + (a == b) / 2 for a, b in pairs) / len(pairs))
+        assert got[s] == pytest.approx(sum(areas) / 3)
+
+
+def test_settings_are_listed_or_drawn():
+    assert len(search.settings_to_try("naive_bayes", search.grid_of("naive_bayes", {"alpha": "search"}), 3, 1)) == 19
+    grid = search.grid_of("svm", {"c": "search", "kernel": "search", "degree": 2})
+    drawn = search.settings_to_try("svm", grid, 7, 1)
+    assert set(grid) == {"c", "kernel"} and len(drawn) == len({tuple(d.items()) for d in drawn}) == 7
+    wide = search.grid_of("xgboost", {p: "search" for p in search.VALUES["xgboost"]})
+    assert len(search.settings_to_try("xgboost", wide, 10, 1)) == 10
+    with pytest.raises(ValueError):
+        search.grid_of("tree", {"max_depth": "search"})
+
+
+@pytest.mark.parametrize(
+    "name, options",
+    [("naive_bayes", {"alpha": [0.5, 1.5]}), ("knn", {"k": [3, 5], "weights": "distance"}), ("perceptron", {"alpha": [0.001, 0.1], "penalty": "l2", "iterations": 2}),
+     ("xgboost", {"max_depth": [2, 3], "n_estimators": 2})],
+)
+def test_any_classifier_is_searched_from_a_run(spark, corpus, name, options):
+    docs, l = corpus
+    two = l.filter("label <> 'c'")
+    settings = Settings(classifier=name, options={name: options}, iterations=2, scoring="roc_auc", vectors=Vectors(prune=30))
+    fitted = pipeline.prepare(settings, name, pipeline.featurize(docs, PLAIN), two)
+    for parameter, value in options.items():
+        assert fitted.options[parameter] in value if isinstance(value, list) else fitted.options[parameter] == value

@@ -100,6 +100,8 @@ def spanning_links(fps: np.ndarray, limit: int = 3) -> list[tuple[int, int]]:
             if (p := root(x)) != (q := root(y)):
                 parent[max(p, q)] = min(p, q)
                 out.append((x, y))
+                if len(out) == len(fps) - 1:  # one group: no further link can join anything
+                    return out
     return out
 
 
@@ -141,8 +143,8 @@ def near_duplicates(
     """``(key, fp, group, component_id)``: one row per input row.
 
     ``fp`` is the fingerprint as a signed long, ``group`` the smallest ``fp`` of
-    the component (as unsigned bits), ``component_id`` the smallest key reachable through
-    links of at most ``limit`` differing bits.  Null and empty texts and texts
+    the component, ``component_id`` the smallest key reachable through links of at
+    most ``limit`` differing bits.  Null and empty texts and texts
     without words have fingerprint 0 and link like any other.  Repeated rows
     and equal texts share a fingerprint and so a component.  A null key never
     names a component unless all of its keys are null.

@@ -25,12 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from sorrel.llm.batches import bounded
 
 # Distinct words that a task keeps with their ids.
-WORDS = 300_000
+WORDS = 150_000
 # Words whose ids are joined back at once.
-SLICE = 1_000_000
+SLICE = 400_000
 # Ids of a batch that are decoded at once.
 IDS = 1_000_000
 
@@ -113,6 +115,7 @@ def encode_lists(lists: pa.Array, table: WordTable) -> pa.Array:
 
 def encode_column(text: Column, path: str) -> Column:
     """Token ids ``array<int>`` of a text column, as the tokenizer at ``path`` gives them."""
+    bounded(SparkSession.active())
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -145,6 +148,7 @@ def pieces(path: str) -> dict[int, bytes]:
 def decode_column(ids: Column, path: str) -> Column:
     """Text of an ``array<int>`` column; ids outside the vocabulary are passed over,
     bytes that are no UTF-8 become the replacement character, null stays null."""
+    bounded(SparkSession.active())
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -243,7 +243,8 @@ def language_column(text: Column, model: Model) -> Column:
             texts = [t if isinstance(t, str) else None for t in batch]
             yield pd.DataFrame(predict(texts, sent.value, table, letters), columns=["lang_pred", "score"], index=batch.index)
 
-    return guess(text)
+    # Marked so that a filter on the result does not make Spark predict every text a second time.
+    return guess.asNondeterministic()(text)
 
 
 def held_out(key: str = "doc_id") -> Column:

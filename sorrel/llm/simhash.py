@@ -57,7 +57,8 @@ def fingerprint_column(text, width: int = 3):
             out = np.fromiter((fingerprint(t, width) for t in batch), np.uint64, len(batch))
             yield pd.Series(out.view(np.int64), index=batch.index)
 
-    return simhash(text)
+    # Marked so that a join on the result does not make Spark hash every text a second time.
+    return simhash.asNondeterministic()(text)
 
 
 def _within(fps: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

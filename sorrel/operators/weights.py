@@ -104,12 +104,14 @@ def normalize_l2(features: DataFrame) -> DataFrame:
 def _by_row_norm(features: DataFrame, norm) -> DataFrame:
     """Divide by the document's norm.
 
-    The norms are summed up before they are shuffled; the rows are shuffled once
-    and probe a hash table of the norms without being sorted.
+    A document's rows are brought together once, with their norm; the input is
+    evaluated once and a row of the shuffle is never joined back.
     """
-    norms = features.groupBy("doc_id").agg(norm.alias("_norm"))
-    joined = features.join(norms.hint("shuffle_hash"), "doc_id")
-    return joined.withColumn("value", F.col("value") / F.col("_norm")).drop("_norm").select(*features.columns)
+    rest = [c for c in features.columns if c != "doc_id"]
+    rows = features.groupBy("doc_id").agg(norm.alias("_norm"), F.collect_list(F.struct(*rest)).alias("_rows"))
+    each = rows.select("doc_id", "_norm", F.explode("_rows").alias("_r"))
+    value = (F.col("_r.value") / F.col("_norm")).alias("value")
+    return each.select("doc_id", *(value if c == "value" else F.col(f"_r.{c}") for c in rest)).select(*features.columns)
 
 
 def weight_tfidf(features: DataFrame, idf: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ from sorrel.llm.batches import bounded
 
 # Distinct words that a task keeps with their ids.
 WORDS = 150_000
+# Words encoded by one call, whose results hold far more than ids.
+ENCODED = 10_000
 # Words whose ids are joined back at once.
 SLICE = 400_000
 # Ids of a batch that are decoded at once.
@@ -82,7 +84,9 @@ class WordTable:
             self.clear()
         new = [w for w in distinct if w not in self.rows]
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+            found = []
+            for low in range(0, len(new), ENCODED):
+                found += [e.ids for e in self.tokenizer.encode_batch(new[low : low + ENCODED], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))

@@ -1,18 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. Every whole text is scanned for word n-grams of the test items.  Stretches
-   with hits become training passages, staged with their hits.
-2. The hits' document frequencies over the whole corpus rank the n-grams of each
-   item; in every window of ``window`` neighbouring n-grams the rarest one is a
-   seed.  So a common n-gram gives way to a rare one beside it, but any copied
-   run of ``n + window - 1`` words holds a seed however often it is copied.
-3. Seeds join passages to items, and each pair is aligned on words: match +2,
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. Every whole text is scanned for word n-grams of the test items.  Each n-gram of
+   an item that a text holds is a seed, however common it is, so what is found in
+   one text never depends on another.
+2. The parts of the text around an item's seeds are aligned on words: match +2,
    mismatch -1, gap -1 a word.  The score is the share of ``2 * item words``.
 
 Words are runs of letters and digits, lower-cased.  An alignment that reaches
 ``least`` cannot have more gaps than twice the item's words, which bounds the part of the
-text around a seed that can belong to it; nothing outside it is needed.  Pairs
-that share too few words to reach ``least`` are left out before alignment.
+text around a seed that can belong to it; nothing outside it is needed.  Items
+that share too few words with a text to reach ``least`` are left out before alignment.
+A copy without one unchanged run of ``n`` words has no seed.
 
 Items travel to the tasks in blocks of at most ``BLOCK_WORDS`` words, one pass
 over the corpus a block.  Items of fewer than ``n`` words are one n-gram of
@@ -30,10 +28,9 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sorrel.llm.batches import bounded
-from sorrel.plans.staging import stage
 
 # Items that are sent to the tasks together hold at most so many words.
 BLOCK_WORDS = 2_000_000
@@ -129,42 +126,6 @@ def aligned(item: np.ndarray, text: np.ndarray, least: float) -> tuple[float, in
     return best / full, end - back, end
 
 
-def passages_of(docs: DataFrame, key: str, text: str, items: Items) -> DataFrame:
-    """``(key, start, ids, at, grams)``: stretches of texts that hold item n-grams."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-    kind = dict(docs.dtypes)[key]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = sent.value
-        reach = 3 * block.longest
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch["id"], batch["text"], strict=True):
-                ids = block.read(t if isinstance(t, str) else None)
-                at, grams = block.hits(ids)
-                if len(at):
-                    for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * reach) + 1):
-                        low, high = max(0, int(at[part[0]]) - reach), int(at[part[-1]]) + reach
-                        rows.append((k, low, ids[low:high], at[part] - low, grams[part]))
-            yield pd.DataFrame(rows, columns=["id", "start", "ids", "at", "grams"])
-
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return source.mapInPandas(scan, f"id {kind}, start long, ids array<long>, at array<long>, grams array<long>")
-
-
-def rare_seeds(passages: DataFrame, items: Items, window: int) -> DataFrame:
-    """``(gram, item, at)``: the rarest n-gram of every window of every item."""
-    spark = passages.sparkSession
-    counts = (
-        passages.select("id", F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    )
-    held = [(g, item, at) for g, places in items.of.items() for item, at in places]
-    grams = spark.createDataFrame(held, "gram long, item long, at long").join(counts, "gram")
-    near = Window.partitionBy("item").orderBy("at").rangeBetween(0, window - 1)
-    rarest = F.min(F.struct("df", "at", "gram")).over(near)
-    return grams.select("item", rarest.alias("r")).select(F.col("r.gram").alias("gram"), "item", F.col("r.at").alias("at")).distinct()
-
-
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -173,7 +134,6 @@ def leaks(
     item_key: str = "item_id",
     item_text: str = "text",
     n: int = 3,
-    window: int = 3,
     least: float = 0.5,
 ) -> DataFrame:
     """``(key, item_key, score, start_word, end_word)`` of every leaked item in every text.
@@ -190,11 +150,7 @@ def leaks(
         items = Items(block, n)
         if not items.words:
             continue
-        passages = stage(passages_of(docs, key, text, items), "passages")
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for r in rare_seeds(passages, items, window).collect():  # at most one a word of the block
-            seeds[r["gram"]].append((r["item"], r["at"]))
-        found = _joined(passages, spark.sparkContext.broadcast((items, dict(seeds))), kind, item_kind, least)
+        found = _verified(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), items, kind, item_kind, least)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], f"`{key}` {kind}, `{item_key}` {item_kind}, score double, start_word long, end_word long")
@@ -217,24 +173,34 @@ def _blocks(rows) -> Iterator[list[tuple]]:
         yield block
 
 
-def _joined(passages: DataFrame, sent, kind: str, item_kind: str, least: float) -> DataFrame:
+def _verified(texts: DataFrame, items: Items, kind: str, item_kind: str, least: float) -> DataFrame:
+    """``(id, item, score, start, end)``: the alignments of ``texts(id, text)`` with the items of a block."""
+    sent = texts.sparkSession.sparkContext.broadcast(items)
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, seeds = sent.value
+        block = sent.value
+        held = np.zeros(len(block.numbers), bool)
         for batch in batches:
             rows = []
-            for p in batch.itertuples(index=False):
-                spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for at, gram in zip(p.at.tolist(), p.grams.tolist(), strict=True):
-                    for item, q in seeds.get(gram, ()):
-                        size = len(items.words[item])
-                        spans[item].append((max(0, at - q - 2 * size), at - q + 3 * size))
-                for item, found in spans.items():
-                    for low, high in _merged(found):
-                        if hit := aligned(items.words[item], p.ids[low:high], least):
-                            rows.append((p.id, items.item_ids[item], hit[0], p.start + low + hit[1], p.start + low + hit[2]))
+            for k, t in zip(batch["id"], batch["text"], strict=True):
+                ids = block.read(t if isinstance(t, str) else None)
+                starts: dict[int, list[int]] = defaultdict(list)
+                for at, gram in zip(*(x.tolist() for x in block.hits(ids)), strict=True):
+                    for item, q in block.of[gram]:
+                        starts[item].append(at - q)
+                known = ids[ids >= 0]
+                held[known] = True
+                for item, found in starts.items():
+                    words = block.words[item]
+                    if held[words].sum() < least * len(words):
+                        continue
+                    for low, high in _merged([(max(0, at - 2 * len(words)), at + 3 * len(words)) for at in found]):
+                        if hit := aligned(words, ids[low:high], least):
+                            rows.append((k, block.item_ids[item], hit[0], low + hit[1], low + hit[2]))
+                held[known] = False
             yield pd.DataFrame(rows, columns=["id", "item", "score", "start", "end"])
 
-    return passages.mapInPandas(verify, f"id {kind}, item {item_kind}, score double, start long, end long")
+    return texts.mapInPandas(verify, f"id {kind}, item {item_kind}, score double, start long, end long")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from sorrel.llm import decontaminate
 from sorrel.llm.queries import QUERIES
@@ -67,6 +68,16 @@ def test_common_seeds_do_not_hide_a_copy(spark):
     assert {d for d, _ in got} == set(range(300))
 
 
+@pytest.mark.parametrize("every", [4, 5])
+def test_a_verbatim_copy_does_not_hide_an_edited_one(spark, every):
+    words = [f"word{n}" for n in range(40)]
+    edited = [f"other{n}" if n % every == every - 1 else w for n, w in enumerate(words)]
+    texts = [" ".join(words), " ".join(edited)]
+    got = found(spark, texts, texts[:1])
+    assert got.keys() == {(0, 0), (1, 0)}
+    assert all(abs(r["score"] - brute_score(texts[0], texts[d])) < 1e-9 for (d, _), r in got.items())
+
+
 def test_short_items_blocks_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 3)
     texts = ["say hello world now", "hello big world", "hello", "hello world hello world"]

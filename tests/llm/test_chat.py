@@ -55,6 +55,31 @@ def test_long_conversation_in_pieces(spark):
     check(spark, turns, piece_turns=64)
 
 
+def whole(spark, turns, **more):
+    """Formatted text and texts under the loss mask of each conversation, its pieces put together."""
+    df = spark.createDataFrame([(*t, "x", 1) for t in turns], SCHEMA)
+    out = {}
+    for r in sorted(chat.format_pieces(df, **more).collect(), key=lambda r: r["piece"]):
+        text, loss = out.get(r["conv_id"], ("", []))
+        out[r["conv_id"]] = (text + r["formatted"], loss + [r["formatted"][s:e] for s, e in r["loss"]])
+    return out
+
+
+def test_borders_of_pieces_do_not_show(spark):
+    pair = whole(spark, [(1, 1023, "assistant", "a"), (1, 1024, "assistant", "b")])
+    assert pair == {1: ("<|im_start|>assistant\na<|im_sep|>b<|im_end|>\n", ["a", "b"])}
+    rng = random.Random(6)
+    turns = [(1, n, rng.choice(["user", "assistant"]), f"t{n}<|im_end|>") for n in range(60)]
+    turns += [(2, n, "assistant", f"t{n}") for n in range(20)] + [(None, None, rng.choice(["user", None]), "same") for _ in range(50)]
+    turns += [(3, 5, "assistant", "same")] * 30 + [(4, 0, "user", "one")]
+    one = whole(spark, turns)
+    for n in (1, 4, 7):
+        assert whole(spark, turns, piece_turns=n) == one
+    check(spark, turns, piece_turns=4)
+    sizes = {r["piece"]: r["loss"] for r in chat.format_pieces(spark.createDataFrame([(*t, "x", 1) for t in turns if t[0] == 3], SCHEMA), piece_turns=10).collect()}
+    assert sorted(map(len, sizes.values())) == [10, 10, 10]
+
+
 @settings(deadline=None, max_examples=5)
 @given(st.lists(st.text("<|\\ aim_endstart>", max_size=30), min_size=1, max_size=30))
 def test_escapes_are_reversible(spark, texts):

@@ -1,8 +1,8 @@
-"""Bounded Arrow batches."""
+"""Bounded Arrow batches and bounded parts of texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession, functions as F
 
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 # Spark's own limit, and the one for whole texts, whose words take many times their bytes in Python.
@@ -13,3 +13,14 @@ def bounded(spark: SparkSession) -> None:
     """Lower the session's limit of bytes per Arrow batch, unless it was set already."""
     if spark.conf.get(SETTING, DEFAULT) == DEFAULT:
         spark.conf.set(SETTING, BYTES)
+
+
+def text_window(text: Column, chars: int) -> Column:
+    """A text, or of a longer one ``chars`` characters from a place chosen by its hash.
+
+    A part without a letter gives way to the one from the first letter on.
+    """
+    start = F.pmod(F.xxhash64(text), F.length(text) - chars + 1)
+    part = F.substr(text, (start + 1).cast("int"), F.lit(chars))
+    lettered = F.substr(F.regexp_replace(text, r"^\P{L}+", ""), F.lit(1), F.lit(chars))
+    return F.when(F.length(text) <= chars, text).otherwise(F.when(part.rlike(r"\p{L}"), part).otherwise(lettered))

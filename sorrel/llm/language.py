@@ -6,12 +6,13 @@ language's text, and costs ``phrases * log2(length of the language's text)``
 bits.  The language with the fewest bits per character wins.
 
 Labelled text comes from a bounded sample: per language the ``rows`` distinct
-texts of at most ``row_chars`` characters with the smallest hash, so the
+texts with the smallest hash, those of at most ``row_chars`` characters first; a
+longer one gives a part of ``row_chars`` characters at a hashed place.  So the
 automata hold at most ``languages * rows * row_chars`` characters however large
 the table is.  Everything else runs over whole texts.
 
-A text is read as symbols: the lower-cased characters of the labelled text,
-and one blank for all others and for everything that is not a letter.  It is
+A text is read as symbols: all lower-cased letters of the labelled text, and one
+blank for all others and for everything that is not a letter.  It is
 parsed in blocks of ``BLOCK`` characters, each starting a new phrase, so that
 blocks of many texts are walked side by side and a very long text costs no more
 memory than its symbols.
@@ -27,22 +28,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from sorrel.llm.batches import bounded
+from sorrel.llm.batches import bounded, text_window
 
 UNKNOWN = "und"
 # A phrase never crosses a multiple of this many characters.
 BLOCK = 2048
 # Characters of a batch that are walked side by side.
 SLICE = 2_000_000
-# Symbols beside the blank; rarer letters count as blanks.
-LETTERS = 63
+# Cells of the table of moves, states by symbols; a larger one holds only the moves that exist, to be searched.
+DENSE = 16_000_000
 
 
 class Model(NamedTuple):
     """Automata of all languages in one table of moves.
 
     ``moves[state + symbol]`` is the next state times two, plus one if a phrase
-    ended before the symbol; states are row starts.
+    ended before the symbol; states are row starts.  If ``keys`` is not empty,
+    ``moves`` are those of ``keys`` (state + symbol, sorted) only; from any other a
+    phrase ends and the next one moves by ``firsts`` (languages x symbols).
     """
 
     languages: list[str]
@@ -50,11 +53,21 @@ class Model(NamedTuple):
     moves: np.ndarray
     roots: np.ndarray
     bits: np.ndarray
+    keys: np.ndarray
+    firsts: np.ndarray
+
+    def step(self, state: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Moves from states (languages x texts) by one symbol of each text."""
+        at = state + row
+        if not len(self.keys):
+            return self.moves.take(at)
+        place = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return np.where(self.keys[place] == at, self.moves[place], self.firsts[:, row] | 1)
 
 
 def symbol_table(symbols: dict[str, int]) -> np.ndarray:
     """Symbol of every code point; upper case as lower case."""
-    out = np.zeros(0x110000, np.uint8)
+    out = np.zeros(0x110000, np.min_scalar_type(len(symbols)))
     for letter, n in symbols.items():
         for form in {letter, letter.upper(), letter.title()}:
             if len(form) == 1:
@@ -104,32 +117,40 @@ def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
 def build(samples: dict[str, list[str]]) -> Model:
     """Model of the labelled texts of each language."""
     languages = sorted(samples)
-    counts: dict[str, int] = {}
-    for texts in samples.values():
-        for text in texts:
-            for c in text.lower():
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-    chosen = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-    symbols = {c: n + 1 for n, c in enumerate(sorted(chosen))}
+    letters = {c for texts in samples.values() for text in texts for c in text.lower() if c.isalpha()}
+    symbols = {c: n + 1 for n, c in enumerate(sorted(letters))}
     width, table = len(symbols) + 1, symbol_table(symbols)
-    parts, roots, bits, base = [], [], [], 0
-    for name in languages:
-        text = table[code_points("\n".join(samples[name]))]
-        states = suffix_automaton(text)
+    texts = [table[code_points("\n".join(samples[name]))] for name in languages]
+    automata = [suffix_automaton(text) for text in texts]
+    dense = sum(len(states) + 1 for states in automata) * width <= DENSE
+    parts, keys, firsts, roots, base = [], [], [], [], 0
+    for states in automata:
         # One state more, for a symbol that the language's text lacks: a phrase of its own that nothing follows.
-        to = np.full((len(states) + 1, width), -1, np.int64)
-        for n, moves in enumerate(states):
-            for c, s in moves.items():
-                to[n, c] = s
-        ended = to < 0
-        to = np.where(ended, np.where(to[0] < 0, len(states), to[0])[None, :], to)
-        ended[0] = False  # the start is left by a block's first symbol only
-        parts.append((((to * width + base) << 1) | ended).ravel())
+        first = np.full(width, len(states), np.int64)
+        first[list(states[0].keys())] = list(states[0].values())
+        if dense:
+            to = np.full((len(states) + 1, width), -1, np.int64)
+            for n, moves in enumerate(states):
+                to[n, list(moves.keys())] = list(moves.values())
+            ended = to < 0
+            to = np.where(ended, first[None, :], to)
+            ended[0] = False  # the start is left by a block's first symbol only
+            parts.append((((to * width + base) << 1) | ended).ravel())
+        else:
+            held = [(c, s) for c, s in enumerate(first.tolist())]
+            held += [(n * width + c, s) for n, moves in enumerate(states) if n for c, s in sorted(moves.items())]
+            at, to = np.array(held, np.int64).T
+            keys.append(at + base)
+            parts.append((to * width + base) << 1)
+        firsts.append((first * width + base) << 1)
         roots.append(base)
-        bits.append(math.log2(max(2, len(text))))
-        base += to.size
-    return Model(languages, symbols, np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(roots, np.int64), np.array(bits))
+        base += (len(states) + 1) * width
+    none = np.zeros(0, np.int64)
+    return Model(
+        languages, symbols, np.concatenate(parts) if parts else none, np.array(roots, np.int64),
+        np.array([math.log2(max(2, len(text))) for text in texts]), np.concatenate(keys) if keys else none,
+        np.array(firsts, np.int64).reshape(len(languages), width),
+    )
 
 
 def phrases(lines: list[np.ndarray], model: Model) -> np.ndarray:
@@ -137,14 +158,14 @@ def phrases(lines: list[np.ndarray], model: Model) -> np.ndarray:
     blocks = [(n, line[low : low + BLOCK]) for n, line in enumerate(lines) for low in range(0, len(line), BLOCK)]
     blocks.sort(key=lambda x: -len(x[1]))
     size = np.array([len(b) for _, b in blocks], np.int64)
-    grid = np.zeros((size[0] if len(size) else 0, len(blocks)), np.uint8)
+    grid = np.zeros((size[0] if len(size) else 0, len(blocks)), lines[0].dtype if lines else np.uint8)
     for k, (_, b) in enumerate(blocks):
         grid[: len(b), k] = b
     state = np.repeat(model.roots[:, None], len(blocks), axis=1)
     ends = np.ones(state.shape, np.int64)
     live = np.searchsorted(-size, -np.arange(len(grid)), "left")
     for row, k in zip(grid, live.tolist(), strict=True):
-        step = model.moves.take(state[:, :k] + row[:k])
+        step = model.step(state[:, :k], row[:k])
         ends[:, :k] += step & 1
         state[:, :k] = step >> 1
     out = np.zeros((len(model.roots), len(lines)), np.int64)
@@ -188,18 +209,19 @@ def predict(texts: list[str | None], model: Model, table: np.ndarray, letters: n
 
 
 def sample_texts(docs: DataFrame, label: str, text: str, usable: Column, rows: int, row_chars: int) -> dict[str, list[str]]:
-    """Labelled texts per language: the distinct usable ones with the smallest hash.
+    """Labelled texts per language: the distinct usable ones with the smallest hash, short ones first.
 
     Equal texts count once, so a group of copies cannot fill the sample.  Only hashes
     are ranked; the ranks are cut in each task before they are shuffled, and the texts
     of the chosen hashes are read afterwards.
     """
-    fit = usable & F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= row_chars) & F.col(text).rlike(r"\p{L}")
+    fit = usable & F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")
     hashed = docs.filter(fit).select(F.col(label).alias("label"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    first = hashed.groupBy("label", "h").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    first = hashed.groupBy("label", "h").agg(F.min(F.length("text") > row_chars).alias("long"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("long", "h"))
     chosen = first.withColumn("r", rank).filter(F.col("r") <= rows).select("label", "h")
-    found = hashed.join(F.broadcast(chosen), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))
+    found = hashed.join(F.broadcast(chosen), ["label", "h"]).select("label", "h", text_window(F.col("text"), row_chars).alias("text"))
+    found = found.groupBy("label", "h").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
     for r in found.orderBy("label", "h").collect():
         out.setdefault(r["label"], []).append(r["text"])
@@ -218,7 +240,8 @@ def identify(
     """``(key, lang_pred, score)``, one row per input row.
 
     ``usable`` marks the rows that may be learned from; of those at most ``rows``
-    distinct texts of at most ``row_chars`` characters are taken per language.
+    distinct texts are taken per language, of longer ones than ``row_chars``
+    characters a part of that length and only where shorter ones are too few.
     Null texts and texts without a letter are ``und`` with score 0; so is
     everything if no row may be learned from.  Repeated rows are predicted alike,
     null keys are kept.

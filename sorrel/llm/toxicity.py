@@ -10,8 +10,9 @@ Features of a text: presence of its words and of their first 3 to 6 letters
 and repeated words.  Words and stems enter a model if they differ clearly
 between its classes.
 
-The chain is fitted on a bounded sample: at most ``rows`` labelled texts of at
-most ``row_chars`` characters, those with the smallest hashed key.  Prediction
+The chain is fitted on a bounded sample: at most ``rows`` labelled texts, those of at
+most ``row_chars`` characters first, then those with the smallest hashed key; a
+longer text gives a part of ``row_chars`` characters at a hashed place.  Prediction
 reads every whole text.  Null texts count as empty and get the probabilities of
 a text without words.  Rows without a label, or with a null one, are not learned
 from; of several labels of one key the larger counts.  Without any labelled
@@ -30,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sorrel.llm.batches import bounded
+from sorrel.llm.batches import bounded, text_window
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOL = re.compile(r"[^\w\s]")
@@ -193,9 +194,12 @@ def sample(
     told = labels.select(F.col(key).alias("id"), *(c.cast("int").alias(f"y{n}") for n, c in enumerate(columns.values())))
     names = [f"y{n}" for n in range(len(columns))]
     told = told.dropna().groupBy("id").agg(*(F.max(c).alias(c) for c in names))
-    chosen = told.orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.length("text") <= row_chars)
-    found = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id").collect()
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), (F.length(text) > row_chars).alias("long"))
+    texts = texts.filter(F.col("text").isNotNull())
+    sizes = texts.groupBy("id").agg(F.min("long").alias("long"))
+    chosen = told.join(sizes, "id").orderBy("long", F.xxhash64("id"), "id").limit(rows)
+    found = texts.join(F.broadcast(chosen), ["id", "long"]).dropDuplicates(["id"])
+    found = found.withColumn("text", text_window(F.col("text"), row_chars)).orderBy("id").collect()
     return [r["text"] for r in found], np.array([[r[c] for c in names] for r in found]).reshape(len(found), len(names))
 
 

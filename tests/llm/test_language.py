@@ -81,6 +81,39 @@ def test_labels_of_held_out_rows_are_never_read(spark, documents):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_languages_of_long_texts_only_are_learned(spark):
+    told = [("de", "der und die schen " * 30), ("en", "the of and thing " * 30), ("en", "1 " * 300 + "the of and thing"), ("fr", "les avec pour")]
+    docs = spark.createDataFrame([(n, t, c) for n, (c, t) in enumerate(told)], "doc_id long, text string, lang string")
+    from pyspark.sql import functions as F
+
+    for chars in (100, 10):
+        held = language.sample_texts(docs, "lang", "text", F.lit(True), 12, chars)
+        assert held.keys() == {"de", "en", "fr"}
+        assert all(len(t) <= chars and any(map(str.isalpha, t)) for x in held.values() for t in x)
+    got = {r["doc_id"]: r["lang_pred"] for r in rows(language.identify(docs, F.lit(True), row_chars=100))}
+    assert got == {n: c for n, (c, _) in enumerate(told)}
+    one = language.sample_texts(docs, "lang", "text", F.lit(True), 1, 520)
+    assert [len(t) for t in one["en"]] == [510]
+
+
+def test_many_scripts_and_tables_of_moves(monkeypatch):
+    common = "".join(chr(0x561 + n) + chr(0x10D0 + n) for n in range(33))
+    samples = {"x": [" ".join([common] * 9)], "y": ["кот дом лес"], "z": ["ωρα νυξ φως"]}
+    texts = ["дом кот", "νυξ ωρα", common[3:30], "лес", "φως", "abc", ""]
+    made = language.build(samples)
+    letters = language.letter_table()
+    got = language.predict(texts, made, language.symbol_table(made.symbols), letters)
+    assert [c for c, _ in got[:5]] == ["y", "z", "x", "y", "z"]
+    monkeypatch.setattr(language, "DENSE", 0)
+    sparse = language.build(samples)
+    assert len(sparse.keys) and not len(made.keys)
+    assert language.predict(texts, sparse, language.symbol_table(sparse.symbols), letters) == got
+    han = {"a": ["".join(chr(0x4E00 + n) for n in range(400))], "b": ["".join(chr(0x4E00 + n) for n in range(399, -1, -1))]}
+    wide = language.build(han)
+    table = language.symbol_table(wide.symbols)
+    assert [c for c, _ in language.predict([han["a"][0][50:90], han["b"][0][50:90]], wide, table, letters)] == ["a", "b"]
+
+
 def test_odd_rows(odd, no_documents):
     from pyspark.sql import functions as F
 

@@ -47,6 +47,18 @@ def test_words_are_forgotten_without_loss(monkeypatch):
     assert (toxicity.predict(texts, made, {}) == want).all()
 
 
+def test_long_texts_do_not_shrink_the_sample(spark):
+    texts = [(n, f"{'bad' if n % 2 else 'good'}word " * (40 if n < 60 else 4) + str(n)) for n in range(100)] + [(100, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, 1, n % 2) for n, _ in texts], "doc_id long, quality int, toxic int")
+    held, told = toxicity.sample(docs, labels, chain(), "doc_id", "text", 40, 100)
+    assert sorted(held) == sorted(t for n, t in texts if 60 <= n < 100) and told.shape == (40, 2)
+    held, _ = toxicity.sample(docs, labels, chain(), "doc_id", "text", 60, 100)
+    assert len(held) == 60 and max(map(len, held)) <= 100
+    got = rows(toxicity.toxicity(docs, labels, chain(), row_chars=20))
+    assert all(r["toxic"] == bool(r["doc_id"] % 2) for r in got if r["doc_id"] < 100)
+
+
 def test_odd_rows(spark, odd, no_documents):
     schema = "doc_id long, quality int, toxic int, text string"
     labels = spark.createDataFrame([(1, 1, 0, "x"), (2, 0, 1, "x"), (2, 0, 0, "x"), (7, None, 1, "x"), (None, 1, 1, "x"), (99, 1, 1, "x"), (8, 1, None, "x")], schema)

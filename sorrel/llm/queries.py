@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sorrel.llm import ann, chat, decontaminate, language, licenses, secrets, sharding, simhash, tokens, toxicity
+from sorrel.llm import (
+    alignment, ann, chat, decontaminate, language, licenses, prefix_trie, secrets, sharding, simhash, token_counts, tokens, toxicity,
+)
 from sorrel.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -41,11 +43,13 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 
 SHARDS = 40
 
-# The checksum is folded over the bytes of the text with the usual table of 256 remainders.
-OP4_SQL = f"""
-WITH crc_table AS (
+# The checksum is folded over the bytes of a text with the usual table of 256 remainders.
+CRC_TABLE = """crc_table AS (
   SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
-    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t)"""
+
+OP4_SQL = f"""
+WITH {CRC_TABLE},
 sized AS (
   SELECT doc_id, coalesce(text, '') AS text,
     list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents),
@@ -76,7 +80,7 @@ WITH rows AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 t AS (
-  SELECT *, lag(role) OVER w IS DISTINCT FROM role OR lag(turn // 1024) OVER w IS DISTINCT FROM turn // 1024 AS fresh
+  SELECT *, lag(role) OVER w IS DISTINCT FROM role AS fresh
   FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 c AS (
   SELECT conv_id, count(*) AS n_turns,
@@ -101,10 +105,10 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op6_bpe_round_trip")
@@ -147,3 +151,59 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", F.round("p_low_quality", 4).alias("p_low_quality"), F.round("p_toxic", 4).alias("p_toxic"), "low_quality", "toxic"
     )
+
+
+OP11_SQL = f"""
+WITH {CRC_TABLE},
+turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT c, count(*) AS n, list_transform(regexp_extract_all(hex(encode(c::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM turns GROUP BY c),
+convs AS (
+  SELECT c, n, c - c % 100 AS base,
+    xor(list_reduce(list_concat([4294967295], b), lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1])), 4294967295)::BIGINT % 6 AS h
+  FROM ids, crc_table),
+rebuilt AS (
+  SELECT v.c, t.p, t.role, t.text FROM convs v JOIN turns t ON t.c = v.base AND t.p <= v.h
+  UNION ALL
+  SELECT v.c, t.p - v.h + least(v.h, coalesce(b.n, 0)), t.role, t.text
+  FROM convs v JOIN turns t ON t.c = v.c AND t.p > v.h LEFT JOIN convs b ON b.c = v.base),
+keyed AS (
+  SELECT c, p AS depth, length(text)::BIGINT AS len, sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY p)) AS key
+  FROM rebuilt UNION ALL SELECT c, 0, 0, '' FROM convs),
+members AS (SELECT *, lag(key) OVER w AS up, lead(key) OVER w IS NULL AS ends FROM keyed WINDOW w AS (PARTITION BY c ORDER BY depth)),
+nodes AS (
+  SELECT key, depth, min(c) AS c, any_value(up) AS up, any_value(len) AS len, count(*) AS n_convs,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY key, depth),
+families AS (SELECT up AS key, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+below AS (
+  SELECT k.key, sum(CASE WHEN f.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.len) AS saved
+  FROM nodes n JOIN keyed k ON k.c = n.c AND k.depth <= n.depth LEFT JOIN families f ON f.key = n.key GROUP BY k.key)
+SELECT n.c AS conv_id, n.depth, u.c AS parent_conv_id, n.n_convs, coalesce(f.n, 0) AS n_children, b.n_leaves::BIGINT AS n_leaves,
+  b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes u ON u.key = n.up LEFT JOIN families f ON f.key = n.key JOIN below b ON b.key = n.key"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf, "conversations"), rebuilt=True)
+
+
+@query("op12_cross_alignment")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens of every document."""
+    aligned = alignment.align(table(spark, sf, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    scored = alignment.link_scores(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of tokens of every document, with its size in bytes and whether it exceeds 2,048 tokens."""
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    counted = table(spark, sf, "documents").select("doc_id", n_bytes, token_counts.count_column(F.col("text"), vocabulary("word_bpe_49k.json")).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)

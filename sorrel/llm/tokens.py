@@ -6,12 +6,13 @@ batch of words becomes a table of its distinct words, each of which is encoded
 once (words met in earlier batches of the task are taken from the task's
 table), and ids are joined back to the texts by position.  Decoding joins ids
 to their pieces: the table of pieces has one row per id of the vocabulary,
-which bounds its size.
+which bounds its size, and lies in one buffer from which pieces are gathered.
 
-The table of distinct words is one per task and not one for all tasks: joining
+The table of distinct words is one per Python worker and not one for all tasks: joining
 ids back from a single table shuffles every word of the corpus at least twice,
 several times the input on disk; this way nothing is shuffled.  ``WORDS``
-bounds the task's table, which is emptied beyond that and never drops a word.
+bounds the worker's table, whose less used half is forgotten beyond that; a word that is
+met again is encoded again.
 
 Null texts count as empty and have no ids.  The pattern's letters and numbers
 are those of the JVM's Unicode tables.  Nothing depends on keys or other columns.
@@ -20,7 +21,9 @@ are those of the JVM's Unicode tables.  Nothing depends on keys or other columns
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sorrel.llm.batches import bounded
 
-# Distinct words that a task keeps with their ids.
+# Distinct words that a worker keeps with their ids.
 WORDS = 150_000
-# Words encoded by one call, whose results hold far more than ids.
-ENCODED = 10_000
 # Words whose ids are joined back at once.
 SLICE = 400_000
 # Ids of a batch that are decoded at once.
@@ -64,35 +65,45 @@ class WordTable:
     """Ids of distinct words, each encoded once."""
 
     def __init__(self, path: str, limit: int = WORDS):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.clear()
-
-    def clear(self) -> None:
+        tokenizer, self.limit = Tokenizer.from_file(path), limit
+        # A word is what the model merges, so it is given to the model, its bytes as the vocabulary shows them.
+        self.model, self.shown = tokenizer.model, {b: c for c, b in byte_of_char().items()}
+        self.special = {t.content: n for n, t in tokenizer.get_added_tokens_decoder().items()}
         self.rows: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.ids, self.starts, self.used = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keep the half of the words that most calls asked for, the older of equals."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
+        ids, sizes = self.gathered(keep)
+        words = list(self.rows)
+        self.rows = {words[row]: n for n, row in enumerate(keep.tolist())}
+        self.ids, self.starts, self.used = ids, np.concatenate(([0], np.cumsum(sizes))), self.used[keep] // 2
+
+    def encoded(self, word: str) -> list[int]:
+        if word in self.special:
+            return [self.special[word]]
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
 
     def rows_of(self, distinct: list[str]) -> np.ndarray:
-        """Row of each word; new words get new rows."""
+        """Row of each word, good until the next call; new words get new rows."""
         if len(self.rows) > self.limit:
-            self.clear()
+            self.forget()
         new = [w for w in distinct if w not in self.rows]
         if new:
-            found = []
-            for low in range(0, len(new), ENCODED):
-                found += [e.ids for e in self.tokenizer.encode_batch(new[low : low + ENCODED], add_special_tokens=False)]
+            found = [self.encoded(w) for w in new]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
             self.ids = np.concatenate((self.ids, flat))
-        return np.fromiter(map(self.rows.__getitem__, distinct), np.int64, len(distinct))
+            self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
+        rows = np.fromiter(map(self.rows.__getitem__, distinct), np.int64, len(distinct))
+        self.used[rows] += 1
+        return rows
 
     def gathered(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in ``rows`` one after the other, and each word's number of ids."""
@@ -102,6 +113,12 @@ class WordTable:
         return self.ids[at], sizes
 
 
+@lru_cache(1)
+def word_table(path: str) -> WordTable:
+    """The table of this Python worker, which goes on from task to task."""
+    return WordTable(path)
+
+
 def encode_lists(lists: pa.Array, table: WordTable) -> pa.Array:
     """Token ids of each list of words."""
     offsets = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
@@ -123,7 +140,7 @@ def encode_column(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = WordTable(path)
+        table = word_table(path)
         for batch in batches:
             yield encode_lists(batch, table)
 
@@ -149,6 +166,39 @@ def pieces(path: str) -> dict[int, bytes]:
     return out | {t["id"]: t["content"].encode() for t in told["added_tokens"]}
 
 
+class PieceTable:
+    """Bytes of every id in one buffer; ids without a piece stand for none."""
+
+    def __init__(self, known: dict[int, bytes]):
+        self.sizes = np.zeros(max(known) + 2, np.int64)
+        for n, piece in known.items():
+            self.sizes[n] = len(piece)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.buffer = np.frombuffer(b"".join(known.get(n, b"") for n in range(len(self.sizes))), np.uint8)
+
+    def gathered(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the ids one after the other, and each id's number of bytes."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        return self.buffer[at], sizes
+
+
+def decode_lists(lists: pa.Array, table: PieceTable) -> pa.Array:
+    """Text of each list of ids."""
+    offsets = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    flat, none = pc.list_flatten(lists), len(table.sizes) - 1
+    parts, ends = [], [np.zeros(1, np.int64)]
+    for low in range(0, len(flat), IDS):
+        ids = flat.slice(low, IDS).fill_null(-1).to_numpy(zero_copy_only=False)
+        raw, sizes = table.gathered(np.where((ids >= 0) & (ids < none), ids, none))
+        parts.append(raw)
+        ends.append(ends[-1][-1] + np.cumsum(sizes))
+    raw, at = np.concatenate(parts) if parts else np.zeros(0, np.uint8), np.concatenate(ends)[offsets]
+    texts = [raw[low:high].tobytes().decode("utf-8", "replace") for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return pa.array(texts, pa.string(), mask=np.logical_not(lists.is_valid().to_numpy(zero_copy_only=False)))
+
+
 def decode_column(ids: Column, path: str) -> Column:
     """Text of an ``array<int>`` column; ids outside the vocabulary are passed over,
     bytes that are no UTF-8 become the replacement character, null stays null."""
@@ -156,24 +206,9 @@ def decode_column(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = pieces(path)
-        table = np.empty(max(known) + 2, object)
-        table[:] = b""
-        for n, piece in known.items():
-            table[n] = piece
+        table = PieceTable(pieces(path))
         for batch in batches:
-            sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
-            flat = pc.list_flatten(batch)
-            out, at = [], 0
-            for valid, size in zip(batch.is_valid().to_pylist(), sizes.tolist(), strict=True):
-                parts = []
-                for low in range(at, at + size, IDS):
-                    row = flat.slice(low, min(IDS, at + size - low)).fill_null(-1).to_numpy(zero_copy_only=False)
-                    row = np.where((row >= 0) & (row < len(table) - 1), row, len(table) - 1)
-                    parts.append(b"".join(table[row].tolist()))
-                at += size
-                out.append(b"".join(parts).decode("utf-8", "replace") if valid else None)
-            yield pa.array(out, pa.string())
+            yield decode_lists(batch, table)
 
     return decode(ids)
 

@@ -36,11 +36,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sorrel.llm.batches import bounded, cut_at_spaces
 from sorrel.llm.token_counts import Splitter
-from sorrel.llm.tokens import PieceTable, WordTable, pieces
+from sorrel.llm.tokens import IdTable, PieceTable, WordTable, pieces
 from sorrel.plans.staging import skew_join, stage
 
 # Characters of a part of a text, and of the parts that are aligned together.
 PART, TOGETHER = 200_000, 400_000
+SPACED = re.compile(" +[^ ]*")
 ALIGNED = "struct<n_a:long,n_b:long,n_groups:long,n_links:long,groups:string,links:array<struct<a:int,b:int,n:int>>>"
 LINK = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
 
@@ -82,19 +83,26 @@ def shared_cuts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """Ids of one tokenizer and the bytes they stand for."""
+    """Ids of one tokenizer, through a table of distinct words, and the bytes they stand for."""
 
     def __init__(self, path: str):
         if path.endswith(".json"):
-            self.split, self.words = Splitter(path), WordTable(path)
-            self.split.library.encode_special_tokens = True
-            self.encode, known = self.by_word, pieces(path)
+            split = Splitter(path)
+            split.library.encode_special_tokens = True
+            self.words, known = WordTable(path), pieces(path)
+            self.cut = lambda s: None if split.foreign.search(s) else split.pre_tokens(s)
+            # Texts of foreign characters are left to the library.
+            self.whole = lambda s: split.library.encode(s, add_special_tokens=False).ids
         else:
             from sentencepiece import SentencePieceProcessor
 
             model = SentencePieceProcessor(model_file=path)
-            self.encode = lambda spaced: [np.array(ids, np.int64) for ids in model.encode([s[1:] for s in spaced], num_threads=1)]
             names = {i: model.id_to_piece(i) for i in range(model.get_piece_size())}
+            if any(re.search("[^▁]▁", p) for p in names.values()):
+                raise ValueError(f"{path} has pieces with a space inside")
+            # No piece goes over the border before a space, so what lies between borders is encoded alone.
+            self.words = IdTable(lambda words: model.encode([w[1:] for w in words], num_threads=1))
+            self.cut = SPACED.findall
             byte = re.compile(r"<0x([0-9A-F]{2})>")
             known = {
                 i: bytes([int(byte.fullmatch(p)[1], 16)]) if byte.fullmatch(p) else p.replace("▁", " ").encode()
@@ -102,20 +110,19 @@ class Tokens:
             }
         self.table, self.n = PieceTable(known), max(known) + 1
 
-    def by_word(self, spaced: list[str]) -> list[np.ndarray]:
-        """Ids through the table of distinct words; texts of foreign characters are left to the library."""
-        cut = [None if self.split.foreign.search(s) else self.split.pre_tokens(s) for s in spaced]
-        distinct = dict.fromkeys(w for words in cut if words for w in words)
-        row_of = dict(zip(distinct, self.words.rows_of(list(distinct)).tolist(), strict=True))
-        rows = np.fromiter((row_of[w] for words in cut if words for w in words), np.int64)
-        ids, sizes = self.words.gathered(rows)
-        ends = np.concatenate(([0], np.cumsum(sizes)))
+    def encode(self, spaced: list[str]) -> list[np.ndarray]:
+        """Ids of texts that start with a space."""
+        cut = [self.cut(s) for s in spaced]
+        distinct = list(dict.fromkeys(w for words in cut if words for w in words))
+        row_of = dict(zip(distinct, self.words.rows_of(distinct).tolist(), strict=True))
+        ids, sizes = self.words.gathered(np.fromiter((row_of[w] for words in cut if words for w in words), np.int64))
+        ids, ends = ids.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
         out, at = [], 0
         for text, words in zip(spaced, cut, strict=True):
             if words is None:
-                out.append(np.array(self.split.library.encode(text, add_special_tokens=False).ids, np.int64))
+                out.append(np.array(self.whole(text), np.int64))
             else:
-                out.append(ids[ends[at] : ends[at + len(words)]].astype(np.int64))
+                out.append(ids[ends[at] : ends[at + len(words)]])
                 at += len(words)
         return out
 
@@ -155,10 +162,12 @@ class Aligner:
         last_a = shared_cuts(ends_a, ends_b)
         last_b = np.searchsorted(ends_b, ends_a[last_a])
         # Written order: a group's A ids, then its B ids.
-        group_a, group_b = np.searchsorted(last_a, np.arange(len(a))), np.searchsorted(last_b, np.arange(len(b)))
+        ends_group_a, ends_group_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        ends_group_a[last_a] = ends_group_b[last_b] = 1
+        group_a, group_b = np.cumsum(ends_group_a) - ends_group_a, np.cumsum(ends_group_b) - ends_group_b
         codes = np.empty(len(a) + len(b), np.int64)
-        codes[np.arange(len(a)) + np.concatenate(([0], last_b + 1))[group_a]] = 2 * a + (last_a[group_a] == np.arange(len(a)))
-        codes[np.arange(len(b)) + last_a[group_b] + 1] = 2 * (self.a.n + b) + (last_b[group_b] == np.arange(len(b)))
+        codes[np.arange(len(a)) + np.concatenate(([0], last_b + 1))[group_a]] = 2 * a + ends_group_a
+        codes[np.arange(len(b)) + last_a[group_b] + 1] = 2 * (self.a.n + b) + ends_group_b
         text, widths = self.written.gathered(codes)
         # Each stretch between neighbouring ends of either side is one overlap.
         stretches = np.union1d(ends_a, ends_b)

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -61,17 +61,11 @@ def words(text: Column, special: str = "<|endoftext|>") -> Column:
     return F.when(F.contains(whole, F.lit(special)), parts).otherwise(plain(whole))
 
 
-class WordTable:
-    """Ids of distinct words, each encoded once."""
+class IdTable:
+    """Ids of distinct strings, each encoded once by ``encode`` (lists of strings to lists of ids)."""
 
-    def __init__(self, path: str, limit: int = WORDS):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer, self.limit = Tokenizer.from_file(path), limit
-        # A word is what the model merges, so it is given to the model, its bytes as the vocabulary shows them.
-        self.model, self.shown = tokenizer.model, {b: c for c, b in byte_of_char().items()}
-        self.special = {t.content: n for n, t in tokenizer.get_added_tokens_decoder().items()}
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = WORDS):
+        self.encode, self.limit = encode, limit
         self.rows: dict[str, int] = {}
         self.ids, self.starts, self.used = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
@@ -83,18 +77,13 @@ class WordTable:
         self.rows = {words[row]: n for n, row in enumerate(keep.tolist())}
         self.ids, self.starts, self.used = ids, np.concatenate(([0], np.cumsum(sizes))), self.used[keep] // 2
 
-    def encoded(self, word: str) -> list[int]:
-        if word in self.special:
-            return [self.special[word]]
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
-
     def rows_of(self, distinct: list[str]) -> np.ndarray:
         """Row of each word, good until the next call; new words get new rows."""
         if len(self.rows) > self.limit:
             self.forget()
         new = [w for w in distinct if w not in self.rows]
         if new:
-            found = [self.encoded(w) for w in new]
+            found = self.encode(new)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
@@ -113,6 +102,25 @@ class WordTable:
         return self.ids[at], sizes
 
 
+class WordTable(IdTable):
+    """Ids of words by the byte-level tokenizer at ``path``."""
+
+    def __init__(self, path: str, limit: int = WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        # A word is what the model merges, so it is given to the model, its bytes as the vocabulary shows them.
+        self.model, self.shown = tokenizer.model, {b: c for c, b in byte_of_char().items()}
+        self.special = {t.content: n for n, t in tokenizer.get_added_tokens_decoder().items()}
+        super().__init__(lambda words: [self.encoded(w) for w in words], limit)
+
+    def encoded(self, word: str) -> list[int]:
+        if word in self.special:
+            return [self.special[word]]
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
+
+
 @lru_cache(1)
 def word_table(path: str) -> WordTable:
     """The table of this Python worker, which goes on from task to task."""

@@ -1,6 +1,7 @@
 """Licence scans with a trained paragraph classifier, in DataFrame operations only.
 
-Texts are split into paragraphs (lines).  A paragraph's words and word pairs,
+Texts are split into paragraphs: lines, and runs of lines for notices that are
+broken into lines.  A paragraph's words and word pairs,
 those that occur in the licence templates, are a sparse vector; a multinomial
 logistic regression gives the licence family or ``none``.  A second, binary
 regression on the margin between the two best classes gives the calibrated
@@ -17,7 +18,8 @@ with a template.  Paragraphs without any word of the templates are ``none``
 without a model.
 
 Null and empty texts have no paragraph; repeated rows and null keys give rows of
-their own.  The classifier's rows and templates are bounded; every paragraph of
+their own, an empty table gives no row, and of classes with equal scores the one whose name
+sorts last is the prediction.  Other columns are left out.  The classifier's rows and templates are bounded; every paragraph of
 every text is classified.
 """
 
@@ -28,7 +30,7 @@ from typing import NamedTuple
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sorrel.plans.staging import stage
 
@@ -181,10 +183,50 @@ def training_rows() -> list[tuple[str, str, bool]]:
     return rows
 
 
+def line_words(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(id, w)``: the words of every line of a text."""
+    return docs.select(F.col(key).alias("id"), F.transform(F.split(F.col(text), "\n"), lambda line: words(line)).alias("w"))
+
+
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, paragraph, words)`` of every line that has words."""
-    lines = docs.select(F.col(key).alias("id"), F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "line"))
-    return lines.select("id", "paragraph", words(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    """``(id, paragraph, words)`` of every line that has words."""
+    rows = line_words(docs, key, text).select("id", F.posexplode("w").alias("paragraph", "words"))
+    return rows.filter(F.size("words") > 0)
+
+
+def near_units(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(id, row, paragraph, lines, words)``: lines with a telling word, and runs of such lines.
+
+    A run is what a notice broken into lines looks like: lines with a telling word that follow
+    each other, with at most one line without one, and no line without words, between them.
+    Lines are cut into words once, inside the arrays.
+    """
+    telling = F.array(*map(F.lit, telling_words()))
+
+    def told(x: Column, i: Column) -> Column:
+        return F.struct(i.alias("i"), F.arrays_overlap(x, telling).alias("told"))
+
+    numbers = F.transform(F.filter(F.transform("w", told), lambda x: x["told"]), lambda x: x["i"])
+    rows = line_words(docs, key, text).select("id", F.monotonically_increasing_id().alias("row"), "w", numbers.alias("near"))
+
+    def goes_on(j: Column) -> Column:
+        gap = F.get("near", j) - F.get("near", j - 1)
+        return (gap == 1) | ((gap == 2) & (F.size(F.get("w", F.get("near", j) - 1)) > 0))
+
+    every = F.when(F.size("near") > 0, F.sequence(F.lit(0), F.size("near") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("starts", F.filter(every, lambda j: (j == 0) | ~goes_on(j)))
+
+    def run(j: Column, n: Column) -> Column:
+        last = F.coalesce(F.get("starts", n + 1), F.size("near")) - 1
+        return F.struct(F.get("near", j).alias("first"), (F.get("near", last) - F.get("near", j) + 1).alias("lines"))
+
+    runs = F.filter(F.transform("starts", run), lambda r: r["lines"] > 1)
+    single = F.transform("near", lambda i: F.struct(i.alias("first"), F.lit(1).alias("lines")))
+    units = rows.withColumn("u", F.explode(F.concat(single, runs)))
+    return units.select(
+        "id", "row", F.col("u.first").alias("paragraph"), F.col("u.lines").alias("lines"),
+        F.flatten(F.slice("w", F.col("u.first") + 1, F.col("u.lines"))).alias("words"),
+    )
 
 
 def with_features(rows: DataFrame, known: list[str]) -> DataFrame:
@@ -235,22 +277,36 @@ def template_share(pairs: Column, family: str) -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
-    """``(key, paragraph, family, probability, template_share, confirmed)``.
+    """``(key, paragraph, lines, family, probability, template_share, confirmed)``.
 
     One row for every paragraph whose best class is a licence: ``family`` is its
-    name, or ``unknown`` if the calibrated probability is below one half.
+    name, or ``unknown`` if the calibrated probability is below one half;
+    ``paragraph`` is its first line.  A run of lines is reported, in place of its lines, if it is
+    confirmed and none of its lines is.
     """
     model = model or fit(docs, text)
-    near = paragraphs(docs, key, text).filter(F.arrays_overlap("words", F.array(*map(F.lit, telling_words()))))
+    near = near_units(docs, key, text)
     found = with_prediction(with_features(near, model.vocabulary), model.classifier, model.classes).filter(F.col("family") != NONE)
     calibrated = model.calibration.transform(found.withColumn("m", array_to_vector(F.array("margin"))))
     shares = F.coalesce(*(F.when(F.col("family") == c, template_share(F.col("pairs"), c)) for c in TEMPLATES))
     told = calibrated.select(
-        "id", "paragraph", "family", vector_to_array("probability")[1].alias("probability"), shares.alias("template_share")
+        "id", "row", "paragraph", "lines", "family", vector_to_array("probability")[1].alias("probability"), shares.alias("template_share")
     )
     sure = F.col("probability") >= 0.5
-    return told.select(
-        F.col("id").alias(key), F.col("paragraph").cast("long").alias("paragraph"),
-        F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), "probability", "template_share",
-        (sure & (F.col("template_share") >= CONFIRMED)).alias("confirmed"),
+    judged = told.withColumn("confirmed", sure & (F.col("template_share") >= CONFIRMED)).withColumn("end", F.col("paragraph") + F.col("lines"))
+    # Lines and runs of one text meet in a window; only what looks like a licence is shuffled.
+    text_of = Window.partitionBy("row")
+    certain = judged.filter((F.col("lines") == 1) | F.col("confirmed")).withColumns({
+        "single": F.collect_list(F.when(F.col("confirmed") & (F.col("lines") == 1), F.col("paragraph"))).over(text_of),
+        "runs": F.collect_list(F.when(F.col("lines") > 1, F.struct("paragraph", "end"))).over(text_of),
+    })
+
+    def plain(run: Column) -> Column:
+        return ~F.exists("single", lambda i: (i >= run["paragraph"]) & (i < run["end"]))
+
+    covered = F.exists("runs", lambda r: (F.col("paragraph") >= r["paragraph"]) & (F.col("paragraph") < r["end"]) & plain(r))
+    kept = certain.filter(F.when(F.col("lines") > 1, plain(F.struct("paragraph", "end"))).otherwise(~covered))
+    return kept.select(
+        F.col("id").alias(key), F.col("paragraph").cast("long").alias("paragraph"), F.col("lines").cast("long").alias("lines"),
+        F.when(F.col("probability") >= 0.5, F.col("family")).otherwise(UNKNOWN).alias("family"), "probability", "template_share", "confirmed",
     )

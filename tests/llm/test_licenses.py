@@ -63,3 +63,22 @@ def test_query_finds_every_notice_of_the_corpus(spark, documents):
     want = {(r["doc_id"], n, notices[p]) for r in documents.collect() for n, p in enumerate(r["text"].split("\n")) if p in notices}
     got = {(r["doc_id"], r["paragraph"], r["family"]) for r in rows(QUERIES["op5_license_scan"](spark, SF)) if r["confirmed"]}
     assert want and got == want
+
+
+@pytest.mark.parametrize("columns", [72, 50])
+def test_notices_broken_into_lines(spark, model, columns):
+    import textwrap
+
+    told = [(c, t) for c, x in licenses.TEMPLATES.items() for t in x if len(t) > columns and "http" not in t]
+    texts = [f"some words of prose\n\n{textwrap.fill(t, columns)}\n\nthe end of it" for _, t in told]
+    got = scanned(spark, texts, model)
+    missed = [t for n, (c, t) in enumerate(told) if not any(r["confirmed"] and r["family"] == c for k, r in got.items() if k[0] == n)]
+    assert len(told) > 10 and not missed
+
+
+def test_a_run_stands_for_its_lines_unless_one_is_confirmed(spark, model):
+    mit = licenses.TEMPLATES["mit"][2]
+    half = mit.index("of this software")
+    got = scanned(spark, [f"{mit[:half]}\n{mit[half:]}", f"Released under the MIT License.\n{mit[:half]}\n{mit[half:]}"], model)
+    assert [(k, r["lines"]) for k, r in sorted(got.items()) if k[0] == 0] == [((0, 0), 2)]
+    assert (1, 0) in got and all(r["lines"] == 1 for k, r in got.items() if k[0] == 1)

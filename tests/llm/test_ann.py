@@ -89,3 +89,42 @@ def test_query_recall(spark):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
+def recall(v, q, ef=ann.EF, k=20):
+    """Share of the ``k`` largest inner products that a walk of one shard finds."""
+    v = v.astype(np.float32)
+    layers, exact, found = ann.build_graph(np.arange(len(v)), v), v[:q].astype(float) @ v.T.astype(float), []
+    for n, beam in enumerate(ann.walk(v, layers, v[:q], ef)):
+        best = np.argsort(-exact[n], kind="stable")[:k]
+        found.append(len(set(best.tolist()) & set(beam.tolist())) / k)
+    return np.mean(found)
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.0])
+def test_recall_on_vectors_of_unequal_length(spread):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(8192, 64)) * rng.lognormal(sigma=spread, size=(8192, 1))
+    assert recall(v, 128) >= 0.95
+
+
+def test_recall_with_near_lists_of_random_partitions(monkeypatch):
+    monkeypatch.setattr(ann, "EXACT", 2000)
+    rng = np.random.default_rng(4)
+    assert recall(rng.normal(size=(20_000, 32)) * rng.uniform(0.5, 2, (20_000, 1)), 128) >= 0.95
+
+
+def test_equal_scores_of_unlike_vectors_go_by_id(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(n, [float(x) for x in row]) for n, row in enumerate(rng.integers(-2, 3, (400, 6)))]
+    queries = set(range(0, 400, 25))
+    got, want = search(spark, vectors, queries, k=20), brute(vectors, queries, 20)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.95
+    # Of the beam's nodes the smallest ids of a score come first.
+    assert all(x == sorted(x, key=lambda r: (-r[1], r[0])) for x in got.values())
+
+
+def test_an_id_with_several_vectors_asks_once(spark):
+    vectors = [(1, [2.0, 0.0]), (1, [0.0, 3.0]), (2, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])]
+    for order in (vectors, vectors[::-1]):
+        assert search(spark, order, {1}) == {1: [(2, 3.0), (3, 3.0), (2, 0.0)]}

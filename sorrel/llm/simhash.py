@@ -179,7 +179,9 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
     """
     made = stage(docs.select(F.col(key).alias("id"), fingerprint_column(F.col(text), width).alias("fp")), "fingerprints")
     kept = grouped(made, limit).groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp")).alias("k"))
-    kept = stage(kept.select(F.col("k.id").alias("_kept_id"), F.col("k.fp").alias("_kept_fp")), "kept")
-    rows = docs.withColumn("_fp", fingerprint_column(F.col(text), width))
-    same = F.col(key).eqNullSafe(F.col("_kept_id")) & (F.col("_fp") == F.col("_kept_fp"))
-    return rows.join(kept, same).dropDuplicates(["_kept_id", "_kept_fp"]).select(*docs.columns)
+    # Names that the input lacks, whatever their case.
+    taken = {c.lower() for c in docs.columns}
+    mine, its = [name for n in range(len(taken) + 2) if (name := f"_{n}") not in taken][:2]
+    kept = stage(kept.select(F.struct("k.id", "k.fp").alias(its)), "kept")
+    rows = docs.withColumn(mine, F.struct(F.col(key).alias("id"), fingerprint_column(F.col(text), width).alias("fp")))
+    return rows.join(kept, F.col(mine).eqNullSafe(F.col(its))).dropDuplicates([mine]).select(*docs.columns)

@@ -9,6 +9,7 @@ from catalog.vectors import length, vectors
 from sorrel.operators import folds as cv, instances, learners, naive_bayes as nb, neighbours, ordinal, perceptron, weights
 from sorrel.operators.baseline import random_baseline
 from sorrel.operators.folds import make_folds
+from sorrel.plans import search
 from sorrel.plans.staging import stage, staging_root
 from sorrel.sources import storage
 
@@ -95,6 +96,17 @@ def naive_bayes_saved_and_loaded(spark, sf):
     return six(loaded.scores(words(spark, sf), docs(spark, sf)), "prob")
 
 
+@query(
+    "roc_auc",
+    f"WITH {coo()}, {QUALITY}, {bayes()}, told AS (SELECT p.label, prob, (p.label = lab.label)::INT AS hit FROM p JOIN lab USING (doc_id)), "
+    "ranks AS (SELECT label, hit, rank() OVER (PARTITION BY label ORDER BY prob) + (count(*) OVER (PARTITION BY label, prob) - 1) / 2.0 AS place FROM told) "
+    f"SELECT label, {r6('(sum(place) FILTER (hit = 1) - sum(hit) * (sum(hit) + 1) / 2.0) / (sum(hit) * sum(1 - hit))')} AS auc FROM ranks GROUP BY label",
+)
+def roc_auc(spark, sf):
+    scores = quality_scores(spark, sf).withColumn("setting", F.lit(0))
+    return six(search.label_auc(scores, quality(spark, sf)), "auc").select("label", "auc")
+
+
 ALPHA = f"""
 WITH {coo()}, {LANG}, {FOLDS}, {folded_bayes()}, al AS (SELECT 2.0::DOUBLE * unnest(range(1, 20)) / 19 AS alpha),
 sa AS (SELECT alpha, x.f, x.doc_id, t.label, sum(x.value * (ln(coalesce(c.n, 0) + alpha) - ln(t.t + alpha * vs.v))) AS s FROM test x JOIN tot t USING (f) JOIN vs USING (f)
@@ -320,7 +332,7 @@ def logistic_regression_l1(spark, sf):
 @shared
 def boosted_model(spark, sf):
     _, rows, labels = _train(spark, sf)
-    return learners.boosted_trees(rows, labels, 200, max_depth=3, n_estimators=10)
+    return learners.boosted_trees(rows, labels, 200)
 
 
 @query("boosted_trees")

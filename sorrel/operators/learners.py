@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 
 from sorrel.functions.hashing import hash_key
+from sorrel.operators.boosting import BoostedTrees, fit_boosted
 from sorrel.operators.instances import in_order, sparse_instances
 from sorrel.plans.staging import stage
 
@@ -257,23 +258,7 @@ def random_forest(vectors, labels, size, n_estimators=100, max_depth=10, seed=7)
     return Learner(forest.fit(table), order, size, {"n_estimators": n_estimators, "max_depth": max_depth})
 
 
-def boosted_trees(
-    vectors, labels, size, learning_rate=0.1, min_child_weight=1, max_depth=6, gamma=0.0, subsample=1.0,
-    colsample_bytree=1.0, scale_pos_weight=1.0, seed=7, n_estimators=100,
-) -> OneVsRestLearner:
-    """Gradient-boosted trees, one against the rest beyond two labels."""
-    order, table = training_table(vectors, labels, size)
-
-    def fit(binary):
-        weighted = binary.withColumn("weight", F.when(F.col("code") == 1.0, F.lit(float(scale_pos_weight))).otherwise(1.0))
-        return mlc.GBTClassifier(
-            labelCol="code", weightCol="weight", stepSize=learning_rate, maxDepth=max_depth, maxIter=n_estimators,
-            subsamplingRate=subsample, featureSubsetStrategy=str(float(colsample_bytree)) if colsample_bytree < 1 else "all",
-            minInfoGain=gamma, minInstancesPerNode=int(min_child_weight), seed=seed,
-        ).fit(weighted)
-
-    settings = {"learning_rate": learning_rate, "max_depth": max_depth, "n_estimators": n_estimators}
-    return one_vs_rest(table, order, size, fit, settings=settings)
+boosted_trees = fit_boosted
 
 
 # ------------------------------------------------------------------------- search
@@ -355,9 +340,15 @@ def linear_weights(learner, selection: DataFrame) -> DataFrame:
 
 def feature_importance(learner, selection: DataFrame) -> DataFrame:
     """``(ftype, feature, importance)``, the mean over the binary models."""
+    if isinstance(learner, BoostedTrees):
+        rows = [(int(j), float(v)) for j, v in learner.importance().items()]
+        return _named_importance(rows, selection)
     models = learner.models if isinstance(learner, OneVsRestLearner) else [learner.model]
     total = sum(m.featureImportances.toArray() for m in models) / len(models)
-    rows = [(j, float(v)) for j, v in enumerate(total) if v > 0]
+    return _named_importance([(j, float(v)) for j, v in enumerate(total) if v > 0], selection)
+
+
+def _named_importance(rows: list, selection: DataFrame) -> DataFrame:
     table = selection.sparkSession.createDataFrame(rows, "feature_id int, importance double")
     named = _names(selection).join(table, "feature_id").select("ftype", "feature", "importance")
     return named.orderBy(F.col("importance").desc(), "ftype", "feature")

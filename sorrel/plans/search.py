@@ -12,10 +12,10 @@ import math
 import random
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sorrel.functions.hashing import hash_key
-from sorrel.plans.staging import stage
+from sorrel.plans.staging import running_sum, stage
 
 # What ``search`` tries for each parameter.
 ALPHAS = [round(2 * i / 19, 10) for i in range(1, 20)]
@@ -42,8 +42,6 @@ VALUES = {
 }
 # Classifiers whose settings are always drawn; others only beyond three varied parameters.
 DRAWN = ("svm", "knn")
-# Probabilities are told apart to this many parts when ranked.
-PARTS = 10_000
 
 
 def grid_of(name: str, options: dict) -> dict:
@@ -82,22 +80,26 @@ def accuracy(scores: DataFrame, labels: DataFrame) -> DataFrame:
     return guess.join(labels.select("doc_id", F.col("label").alias("target")), "doc_id").groupBy("setting").agg(F.avg(right).alias("score"))
 
 
-def roc_auc(scores: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(setting, score)``: mean area under the curve of each label against the rest.
+def label_auc(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(setting, label, auc)``: area under the curve of each label against the rest.
 
-    Documents are counted by probability first, so the running sums go over at most
-    ``PARTS`` rows a setting and label; equal probabilities count half.  Labels that hold all or no
-    documents are left out.
+    Documents are counted by their exact probability; the documents below each probability come from
+    running sums over a range sort, so no label's documents meet in one task.  Equal probabilities
+    count half.  Labels that hold all or no documents have no area.
     """
     told = scores.join(labels.select("doc_id", F.col("label").alias("target")), "doc_id")
-    part = F.round(F.col("prob") * PARTS).cast("long").alias("part")
     hit = (F.col("label") == F.col("target")).cast("long")
-    cells = told.groupBy("setting", "label", part).agg(F.sum(hit).alias("p"), F.sum(1 - hit).alias("n"))
-    below = Window.partitionBy("setting", "label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cells.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    area = F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))
-    per = ranked.groupBy("setting", "label").agg(F.when((F.sum("p") > 0) & (F.sum("n") > 0), area).alias("auc"))
-    return per.groupBy("setting").agg(F.avg("auc").alias("score"))
+    cells = told.groupBy("setting", "label", "prob").agg(F.sum(hit).alias("p"), F.sum(1 - hit).alias("n"))
+    ranked = running_sum(cells, ["setting", "label"], ["prob"], "n", "under")
+    # Products of counts outgrow a long.
+    pairs = F.sum(F.col("p").cast("double") * (F.col("under") + F.col("n") / 2))
+    area = pairs / (F.sum("p").cast("double") * F.sum("n"))
+    return ranked.groupBy("setting", "label").agg(F.when((F.sum("p") > 0) & (F.sum("n") > 0), area).alias("auc"))
+
+
+def roc_auc(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(setting, score)``: mean of ``label_auc`` over the labels that have one."""
+    return label_auc(scores, labels).groupBy("setting").agg(F.avg("auc").alias("score"))
 
 
 SCORES = {"roc_auc": roc_auc, "f1_micro": accuracy, "accuracy": accuracy}

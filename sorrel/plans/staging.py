@@ -11,7 +11,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 # A table of at most this many bytes may be broadcast, and of no more rows than this.
@@ -44,6 +44,14 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_stage(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    where = getattr(df, "_path", None)
+    if where:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str = "t", schema: T.StructType | None = None) -> DataFrame:
     """Write ``df`` once and return the written table.
 
@@ -56,7 +64,7 @@ def stage(df: DataFrame, name: str = "t", schema: T.StructType | None = None) ->
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex[:10]}"
     df.write.parquet(path)
     out = spark.read.schema(schema or df.schema).parquet(path)
-    out._staged = True
+    out._staged, out._path = True, path
     return out
 
 
@@ -148,6 +156,23 @@ def skew_join(
     return rows.join(F.broadcast(hot), on, how).unionByName(rest.join(cold, on, how))
 
 
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the group before this one by ``order``, whatever the group's size.
+
+    One range sort spreads large groups over many tasks; sums run inside its partitions, and
+    the groups' totals of earlier partitions, of which no more than one row per partition and group exist, are added.
+    """
+    by = [*group, *order]
+    placed = stage(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), name)
+    totals = placed.groupBy("_part", *group).agg(F.sum(value).alias("_t"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", *group, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = summed.join(small_side(stage(offsets, "offsets")), ["_part", *group])
+    return joined.withColumn(name, F.col("_offset") + F.col("_inside")).drop("_part", "_offset", "_inside")
+
+
 def assign_position(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
     """Add a dense 0-based position by ``order`` without a one-partition window.
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.ml import classification as mlc, regression as mlr
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sorrel.operators.boosting import BoostedTrees, Tree
 from sorrel.operators.learners import Learner, OneVsRestLearner, PlattLearner, RegressionLearner
 from sorrel.operators.naive_bayes import NaiveBayes
 from sorrel.operators.perceptron import Perceptron
@@ -67,6 +68,11 @@ def save_model(model, path: str, spark: SparkSession) -> None:
         _put(spark, path, {"kind": "regression", "size": model.size, "part": type(model.model).__name__})
         model.model.write().overwrite().save(f"{path}/part0")
         return
+    if isinstance(model, BoostedTrees):
+        rounds = [[vars(tree) for tree in trees] for trees in model.rounds]
+        gains = [[f, *g] for f, g in model.gains.items()]
+        _put(spark, path, {"kind": "boosted", "labels": model.labels, "size": model.size, "settings": model.settings, "rounds": rounds, "gains": gains})
+        return
     if model.transform_vectors is not None:
         raise ValueError("a learner with a feature map is refitted, not saved")
     parts = model.models if isinstance(model, OneVsRestLearner) else [model.model]
@@ -88,6 +94,9 @@ def load_model(path: str, spark: SparkSession):
         for r in spark.read.parquet(f"{path}/weights").collect():  # as many as the model in the driver holds
             weights[r["code"], r["feature_id"]] = r["w"]
         return Perceptron(facts["labels"], weights)
+    if kind == "boosted":
+        rounds = [[Tree(**tree) for tree in trees] for trees in facts["rounds"]]
+        return BoostedTrees(facts["labels"], facts["size"], rounds, {f: (g, n) for f, g, n in facts["gains"]}, facts["settings"])
     if kind == "regression":
         return RegressionLearner(getattr(mlr, facts["part"]).load(f"{path}/part0"), facts["size"])
     parts = [getattr(mlc, name).load(f"{path}/part{i}") for i, name in enumerate(facts["parts"])]

@@ -361,6 +361,25 @@ def test_roc_auc_against_pairs(spark):
         assert got[s] == pytest.approx(sum(areas) / 3)
 
 
+@pytest.mark.parametrize("parts", ["1", "8"])
+def test_roc_auc_of_tiny_probabilities(spark, parts):
+    """A perfect ranking far below any rounding, ties, and runs that cross partitions."""
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    rng = random.Random(8)
+    rows, told = [], ["ab"[d % 3 == 0] for d in range(300)]
+    for d in range(300):
+        rows.append((0, d, "a", 1e-30 if told[d] == "b" else 1e-6))
+        rows.append((1, d, "a", rng.choice([0.0, 1e-300, 1e-30, 1e-6, 0.5]) * rng.choice([1, 1, 2])))
+    scores = spark.createDataFrame(rows, "setting int, doc_id long, label string, prob double")
+    got = {r["setting"]: r["score"] for r in search.roc_auc(scores, labels(spark, told)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    value = {(s, d): p for s, d, _, p in rows}
+    for s in (0, 1):
+        pairs = [(value[s, a], value[s, b]) for a in range(300) if told[a] == "a" for b in range(300) if told[b] == "b"]
+        assert got[s] == pytest.approx(sum((x > y) + (x == y) / 2 for x, y in pairs) / len(pairs))
+    assert got[0] == 1.0
+
+
 def test_settings_are_listed_or_drawn():
     assert len(search.settings_to_try("naive_bayes", search.grid_of("naive_bayes", {"alpha": "search"}), 3, 1)) == 19
     grid = search.grid_of("svm", {"c": "search", "kernel": "search", "degree": 2})

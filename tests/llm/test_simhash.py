@@ -101,10 +101,10 @@ def test_one_row_of_every_group_stays(odd):
 
 def test_one_per_group_keeps_columns_of_any_name(spark):
     names = ["_fp", "_kept_id", "_kept_fp", "_0", "_1", "k", "fp"]
-    rows_in = [(n, "the same words here" if n < 3 else f"words of number {n}", *(f"{c}{n}" for c in names)) for n in (2, 1, 7, None)]
-    df = spark.createDataFrame(rows_in[:3] + [(None, "the same words here", *names)], f"doc_id long, text string, {', '.join(f'`{c}` string' for c in names)}")
+    rows_in = [(n, "the same words here" if n < 3 else f"words of number {n}", *(f"{c}{n}" for c in names)) for n in (2, 1, 7)]
+    df = spark.createDataFrame(rows_in + [(None, "the same words here", *names)], f"doc_id long, text string, {', '.join(f'`{c}` string' for c in names)}")
     got = sorted(simhash.one_per_group(df).collect())
-    assert [tuple(r) for r in got] == sorted(rows_in[1:3])
+    assert [tuple(r) for r in got] == sorted(rows_in[1:])
 
 
 def test_query_against_brute_force(spark, documents):

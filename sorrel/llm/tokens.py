@@ -109,7 +109,7 @@ class WordTable(IdTable):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer = Tokenizer.from_file(path)
         # A word is what the model merges, so it is given to the model, its bytes as the vocabulary shows them.
         self.model, self.shown = tokenizer.model, {b: c for c, b in byte_of_char().items()}
         self.special = {t.content: n for n, t in tokenizer.get_added_tokens_decoder().items()}

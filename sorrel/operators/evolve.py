@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sorrel.functions.hashing import hash_unit
-from sorrel.operators import report
+from sorrel.operators import many, report
 from sorrel.operators.instances import in_order
-from sorrel.plans.staging import assign_position, rank_within, small_side, stage
+from sorrel.plans.staging import Scratch, assign_position, drop_stage, rank_within, small_side, stage
 
 MAXIMISED = ("precision_micro", "recall_micro", "f1_micro", "roc_auc")
 METRICS = MAXIMISED + ("mae", "rmse")
@@ -82,6 +82,16 @@ def prepare(vectors: DataFrame, sample: DataFrame, n_features: int) -> Problem:
     return Problem(order, counts, stage(tests, "tests"))
 
 
+def _named(cells: DataFrame, labels: list, cands: list) -> DataFrame:
+    """Confusion counts by candidate and label, from their numbers."""
+    names = F.array(*[F.lit(str(v)) for v in labels])
+    ids = F.array(*[F.lit(c).cast("long") for c in cands])
+    return cells.groupBy("cand", "t", "p").agg(F.sum("n").alias("n")).select(
+        ids[F.col("cand").cast("int")].alias("cand_id"), names[F.col("t").cast("int")].alias("target"),
+        names[F.col("p").cast("int")].alias("prediction"), "n",
+    )
+
+
 def score_candidates(problem: Problem, population: DataFrame, params: DataFrame, metric: str = "f1_micro") -> DataFrame:
     """``(cand_id, fitness, n_features)`` of naive Bayes on every mask.
 
@@ -130,12 +140,50 @@ def score_candidates(problem: Problem, population: DataFrame, params: DataFrame,
         yield pd.DataFrame({"cand": c, "t": t, "p": p, "n": table[c, t, p]})
 
     cells = problem.tests.mapInPandas(classify, "cand long, t long, p long, n long")
-    names = F.array(*[F.lit(str(v)) for v in problem.labels])
-    ids = F.array(*[F.lit(c).cast("long") for c in cands])
-    matrix = cells.groupBy("cand", "t", "p").agg(F.sum("n").alias("n")).select(
-        ids[F.col("cand").cast("int")].alias("cand_id"), names[F.col("t").cast("int")].alias("target"),
-        names[F.col("p").cast("int")].alias("prediction"), "n",
-    )
+    matrix = _named(cells, problem.labels, cands)
+    spread = population.groupBy("cand_id").agg(F.count("*").alias("n_features"))
+    return fitness(matrix, metric).join(spread, "cand_id", "left").fillna(0, ["n_features"])
+
+
+# Classifiers whose candidates are linear models, and the loss of each.
+LINEAR = {"logistic_regression": "logistic", "svm": "squared_hinge"}
+
+
+@dataclass
+class LinearProblem:
+    """Packed rows of one sample."""
+
+    labels: list
+    train: DataFrame  # code, ids, vals
+    tests: DataFrame
+    size: int
+
+
+def prepare_linear(vectors: DataFrame, sample: DataFrame, n_features: int) -> LinearProblem:
+    order, rows = many.coded(sample)
+    packed = many.packed_rows(vectors, rows)
+    return LinearProblem(order, packed.filter("train"), packed.filter("not train"), n_features)
+
+
+def score_linear_candidates(
+    problem: LinearProblem, population: DataFrame, params: DataFrame, metric: str = "f1_micro", loss: str = "logistic", max_iter: int = 100
+) -> DataFrame:
+    """As :func:`score_candidates`, with a linear model of every candidate's features; ``alpha`` is its ``c``.
+
+    All candidates and labels are fitted in the same passes over the train rows.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric: {metric}")
+    strength = {r["cand_id"]: r["alpha"] for r in params.collect()}
+    cands = sorted(strength)
+    bits = {r["cand_id"]: tuple(r["ids"]) for r in population.groupBy("cand_id").agg(F.sort_array(F.collect_list("feature_id")).alias("ids")).collect()}
+    specs, names = [], []
+    for i, cand in enumerate(cands):
+        for target in many.targets(problem.labels):
+            specs.append(many.LinearSpec(target, strength[cand], loss=loss, columns=bits.get(cand, ())))
+            names.append(i)
+    models = many.fit_many(problem.train, problem.size, specs, max_iter)
+    matrix = _named(many.confusion(problem.tests, models, problem.labels, names), problem.labels, cands)
     spread = population.groupBy("cand_id").agg(F.count("*").alias("n_features"))
     return fitness(matrix, metric).join(spread, "cand_id", "left").fillna(0, ["n_features"])
 
@@ -237,23 +285,33 @@ def evolve(
     vectors: DataFrame, labels: DataFrame, n_features: int, metric: str = "f1_micro", num_iterations: int = 300,
     population_size: int = 100, elite: float = 0.1, crossover_probability: float = 0.9, mutation_rate: float = 0.3,
     tournament_size: int = 2, n_crossovers: int = 1, stop_condition: int = 5, weight_feature_size: float = 0.0,
-    alphas=(1.0,), sampling: bool = False, sample_share: float = 0.8, steps: int = 1, seed: int = 42,
+    alphas=(1.0,), sampling: bool = False, sample_share: float = 0.8, steps: int = 1, seed: int = 42, classifier: str = "naive_bayes",
 ) -> Evolution:
     """Rounds of score, select, splice and flip until no gain or the limit.
 
     Each round's population is a staged table, so lineage stays short and a
-    lost executor costs no more than the round.
+    lost executor costs no more than the round; what only the round needs is deleted
+    after it.  ``classifier`` is ``naive_bayes`` or one of ``LINEAR``, for which ``alphas`` are values of ``c``.
     """
+    if classifier != "naive_bayes" and classifier not in LINEAR:
+        raise ValueError(f"no candidates of {classifier}")
     spark = vectors.sparkSession
     vectors = stage(vectors, "vectors")
-    problem = prepare(vectors, train_test_sample(labels, sample_share, steps, seed), n_features)
+    posed = prepare if classifier == "naive_bayes" else prepare_linear
+
+    def score(population, params):
+        if classifier == "naive_bayes":
+            return score_candidates(problem, population, params, metric)
+        return score_linear_candidates(problem, population, params, metric, LINEAR[classifier])
+
+    problem = posed(vectors, train_test_sample(labels, sample_share, steps, seed), n_features)
     population = stage(random_population(spark, n_features, population_size, seed), "population")
     params = stage(random_parameters(spark, list(alphas), population_size, seed), "params")
     n_elite = int(elite * population_size)
     n_pairs = -(-(population_size - n_elite) // 2)
-    history, last, streak, turn = [], None, 0, 0
+    history, last, streak, turn, tops_of = [], None, 0, 0, None
     while True:
-        scored = weighted_fitness(score_candidates(problem, population, params, metric), n_features, metric, weight_feature_size)
+        scored = weighted_fitness(score(population, params), n_features, metric, weight_feature_size)
         scored = stage(scored.withColumn("round", F.lit(turn)), "scored")
         history.append(scored)
         values = {r["cand_id"]: r["weighted"] for r in scored.select("cand_id", "weighted").collect()}
@@ -264,27 +322,37 @@ def evolve(
             # The features of the round that set the best value, which later rounds may not reach again.
             tops = [c for c, v in values.items() if v == best]
             winners = population.filter(F.col("cand_id").isin(tops)), params.filter(F.col("cand_id").isin(tops))
+            if tops_of is not None:
+                for table in tops_of:
+                    drop_stage(table)
+            tops_of = population, params
         if streak >= stop_condition or turn >= num_iterations:
             break
         turn += 1
         mark = f"{seed}_{turn}"
-        parents = stage(select_parents(scored, metric, n_pairs, n_elite, tournament_size, mark), "parents")
-        children = crossover(population, parents, n_features, n_crossovers, crossover_probability, mark)
-        children = mutate(stage(children, "children"), 2 * n_pairs, n_features, mutation_rate, mark, crossover_probability)
-        ranked = _best_first(scored, metric).filter(F.col("place") < n_elite).select("cand_id", "place")
-        ranked = stage(ranked, "elite")
-        kept = population.join(F.broadcast(ranked), "cand_id").select(F.col("place").alias("cand_id"), "feature_id")
-        born = children.select((F.col("child") + n_elite).alias("cand_id"), "feature_id").filter(F.col("cand_id") < population_size)
-        drawn = random_parameters(spark, list(alphas), population_size, mark).filter(F.col("cand_id") >= n_elite)
-        # Children of a pair that was not crossed keep the parameters of their parent.
-        own = parents.join(params, "cand_id").filter(~_spliced(F.col("pair"), crossover_probability, mark))
-        own = own.select((F.col("pair") * 2 + F.col("side") + n_elite).alias("cand_id"), F.col("alpha").alias("_own"))
-        drawn = drawn.join(own, "cand_id", "left").select("cand_id", F.coalesce("_own", "alpha").alias("alpha"))
-        held = params.join(F.broadcast(ranked), "cand_id").select(F.col("place").alias("cand_id"), "alpha")
-        population = stage(kept.unionByName(born), "population")
-        params = stage(held.unionByName(drawn), "params")
+        old = population, params
+        with Scratch() as made:
+            parents = stage(select_parents(scored, metric, n_pairs, n_elite, tournament_size, mark), "parents")
+            children = crossover(population, parents, n_features, n_crossovers, crossover_probability, mark)
+            children = mutate(stage(children, "children"), 2 * n_pairs, n_features, mutation_rate, mark, crossover_probability)
+            ranked = _best_first(scored, metric).filter(F.col("place") < n_elite).select("cand_id", "place")
+            ranked = stage(ranked, "elite")
+            kept = population.join(F.broadcast(ranked), "cand_id").select(F.col("place").alias("cand_id"), "feature_id")
+            born = children.select((F.col("child") + n_elite).alias("cand_id"), "feature_id").filter(F.col("cand_id") < population_size)
+            drawn = random_parameters(spark, list(alphas), population_size, mark).filter(F.col("cand_id") >= n_elite)
+            # Children of a pair that was not crossed keep the parameters of their parent.
+            own = parents.join(params, "cand_id").filter(~_spliced(F.col("pair"), crossover_probability, mark))
+            own = own.select((F.col("pair") * 2 + F.col("side") + n_elite).alias("cand_id"), F.col("alpha").alias("_own"))
+            drawn = drawn.join(own, "cand_id", "left").select("cand_id", F.coalesce("_own", "alpha").alias("alpha"))
+            held = params.join(F.broadcast(ranked), "cand_id").select(F.col("place").alias("cand_id"), "alpha")
+            population = stage(kept.unionByName(born), "population")
+            params = stage(held.unionByName(drawn), "params")
+            made.keep(population, params)
+        if tops_of is None or tops_of[0] is not old[0]:
+            for table in old:
+                drop_stage(table)
         if sampling and int(np.random.default_rng(abs(hash_seed(mark))).integers(4)) == 0:
-            problem = prepare(vectors, train_test_sample(labels, sample_share, steps, mark), n_features)
+            problem = posed(vectors, train_test_sample(labels, sample_share, steps, mark), n_features)
     rounds = history[0]
     for scored in history[1:]:
         rounds = rounds.unionByName(scored)

@@ -102,6 +102,14 @@ def searched(name: str, fitted: Fitted, grid: dict, settings: Settings) -> tuple
         return score(name, replace(fitted, vectorizer=part, options={**fitted.options, **setting}), test, docs, settings)
 
     tried = search.settings_to_try(name, grid, settings.iterations, settings.seed)
+    fixed = fitted.options
+    if name == "logistic_regression" and fixed.get("multiclass", "ovr") == "ovr" and set(grid) <= {"c", "penalty"}:
+        full = [{"c": fixed.get("c", 1.0), "penalty": fixed.get("penalty", "l2")} | setting for setting in tried]
+        best, scored = search.search_logistic(
+            base.train, base.train_labels, fitted.size, full, settings.scoring, fixed.get("max_iter", 1000), seed=settings.seed
+        )
+        shown = [{k: setting[k] for k in grid} for setting in full]
+        return shown[full.index(best)], [(own, value) for own, (_, value) in zip(shown, scored)]
     return search.search(fit_score, base.train, base.train_labels, tried, settings.scoring, seed=settings.seed)
 
 
@@ -268,9 +276,17 @@ def run_pipeline(
 
 
 def evolved_columns(model: weights.Vectorizer, settings: Settings) -> tuple[DataFrame, float]:
-    """``(feature_id, new_id)`` of the fittest candidate (the first one on a tie), and its smoothing."""
-    e = settings.evolution
-    alphas = settings.options.get("naive_bayes", {}).get("alpha", 1.0)
+    """``(feature_id, new_id)`` of the fittest candidate (the first one on a tie), and its smoothing or ``c``.
+
+    Logistic regression and the linear support vector machine score candidates by their own kind of model; all others by naive Bayes.
+    """
+    e, name = settings.evolution, settings.classifier
+    options = settings.options.get(name, {})
+    kind = name if name == "logistic_regression" or (name == "svm" and options.get("kernel", "linear") == "linear") else "naive_bayes"
+    tuned = "alpha" if kind == "naive_bayes" else "c"
+    alphas = settings.options.get(kind, {}).get(tuned, 1.0)
+    if isinstance(alphas, str):
+        alphas = search.VALUES[kind][tuned]
     rows, labels = model.train, model.train_labels
     if "copy" in labels.columns:
         # Balanced copies are documents of their own here.
@@ -281,6 +297,7 @@ def evolved_columns(model: weights.Vectorizer, settings: Settings) -> tuple[Data
         rows, labels, model.size, e.metric, e.num_iterations, e.population_size, e.elite, e.crossover_probability,
         e.mutation_rate, e.tournament_size, e.n_crossovers, e.stop_condition, e.weight_feature_size,
         alphas if isinstance(alphas, (list, tuple)) else (alphas,), e.sampling, e.samplesize, settings.folds.steps, settings.seed,
+        classifier=kind,
     )
     first = found.best_parameters.orderBy("cand_id").first()
     ids = found.best_features.filter(F.col("cand_id") == first["cand_id"]).select("feature_id")

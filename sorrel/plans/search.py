@@ -3,7 +3,8 @@
 An option of a run may be a list of values or the word ``search``, which stands
 for the values below.  All settings, or as many seeded draws as
 ``Settings.iterations`` says, are fitted on hashed folds; the scores of all held-out
-documents and settings are judged by one job.
+documents and settings are judged by one job.  Logistic settings are fitted side by side
+in the same passes over the rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from sorrel.functions.hashing import hash_key
-from sorrel.plans.staging import running_sum, stage
+from sorrel.operators import many
+from sorrel.plans.staging import Scratch, running_sum, stage
 
 # What ``search`` tries for each parameter.
 ALPHAS = [round(2 * i / 19, 10) for i in range(1, 20)]
@@ -105,32 +107,73 @@ def roc_auc(scores: DataFrame, labels: DataFrame) -> DataFrame:
 SCORES = {"roc_auc": roc_auc, "f1_micro": accuracy, "accuracy": accuracy}
 
 
+def _placed(labels: DataFrame, folds: int, seed) -> DataFrame:
+    """Labels with the hashed fold ``_part`` of their document."""
+    part = F.conv(F.substring(hash_key(seed, F.col("doc_id")), 1, 8), 16, 10).cast("long") % folds
+    return stage(labels.withColumn("_part", part), "search")
+
+
+def _judged(held: DataFrame, placed: DataFrame, tried: list[dict], scoring: str) -> tuple[dict, list]:
+    truth = placed.select("doc_id", "label").distinct()
+    judged = {r["setting"]: r["score"] for r in SCORES[scoring](held, truth).collect()}
+    scored = [(setting, judged.get(n)) for n, setting in enumerate(tried)]
+    best = max(range(len(tried)), key=lambda n: (-math.inf if scored[n][1] is None else scored[n][1], -n))
+    return tried[best], scored
+
+
 def search(fit_score, train: DataFrame, labels: DataFrame, tried: list[dict], scoring: str, folds: int = 5, seed: int = 42) -> tuple[dict, list]:
     """The best of the settings and a list of ``(setting, score)``.
 
     ``fit_score(setting, train, train_labels, test, test_docs)`` gives scores.  Folds
     follow the document, so balanced copies of one share a fold.  Ties go to the setting tried first.
+    Tables staged on the way are deleted.
     """
     if scoring not in SCORES:
         raise ValueError(f"unknown scoring: {scoring}")
-    part = F.conv(F.substring(hash_key(seed, F.col("doc_id")), 1, 8), 16, 10).cast("long") % folds
-    placed = stage(labels.withColumn("_part", part), "search")
-    train = stage(train, "search_rows")
-    parts = sorted(r["_part"] for r in placed.select("_part").distinct().collect())
-    held = []
-    for f in parts if len(parts) > 1 else []:
-        own, rest = (placed.filter(c).drop("_part") for c in (F.col("_part") == f, F.col("_part") != f))
-        rows = train.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")
-        docs = own.select("doc_id").distinct()
-        test = train.join(docs, "doc_id", "left_semi").drop("copy").distinct()
+    with Scratch():
+        placed = _placed(labels, folds, seed)
+        train = stage(train, "search_rows")
+        parts = sorted(r["_part"] for r in placed.select("_part").distinct().collect())
+        held = []
+        for f in parts if len(parts) > 1 else []:
+            own, rest = (placed.filter(c).drop("_part") for c in (F.col("_part") == f, F.col("_part") != f))
+            rows = train.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")
+            docs = own.select("doc_id").distinct()
+            test = train.join(docs, "doc_id", "left_semi").drop("copy").distinct()
+            for n, setting in enumerate(tried):
+                with Scratch() as made:
+                    found = fit_score(setting, rows, rest, test, docs)
+                    held.append(stage(found.select("doc_id", "label", "prob", F.lit(n).alias("setting")), "held"))
+                    made.keep(held[-1])
+        if not held:
+            return tried[0], [(tried[0], None)]
+        return _judged(reduce(DataFrame.unionByName, held), placed, tried, scoring)
+
+
+def search_logistic(
+    train: DataFrame, labels: DataFrame, size: int, tried: list[dict], scoring: str, max_iter: int = 1000, folds: int = 5, seed: int = 42
+) -> tuple[dict, list]:
+    """As :func:`search` for logistic regression, one label against the rest: all settings, folds and labels in one fit.
+
+    ``tried`` holds ``c`` and ``penalty``.  A label that a fold's train documents lack is fitted on the others alone.
+    """
+    if scoring not in SCORES:
+        raise ValueError(f"unknown scoring: {scoring}")
+    with Scratch():
+        placed = _placed(labels, folds, seed)
+        order, rows = many.coded(placed.withColumn("fold", F.col("_part").cast("int")).drop("_part"))
+        packed = many.packed_rows(train, rows)
+        parts = sorted(r["fold"] for r in packed.select("fold").distinct().collect())
+        if len(parts) < 2:
+            return tried[0], [(tried[0], None)]
+        specs, names = [], []
         for n, setting in enumerate(tried):
-            found = fit_score(setting, rows, rest, test, docs)
-            held.append(stage(found.select("doc_id", "label", "prob", F.lit(n).alias("setting")), "held"))
-    if not held:
-        return tried[0], [(tried[0], None)]
-    truth = placed.select("doc_id", "label").distinct()
-    judged = {r["setting"]: r["score"] for r in SCORES[scoring](reduce(DataFrame.unionByName, held), truth).collect()}
-    scored = [(setting, judged.get(n)) for n, setting in enumerate(tried)]
-    best = max(range(len(tried)), key=lambda n: (-math.inf if scored[n][1] is None else scored[n][1], -n))
-    return tried[best], scored
-
+            for fold in parts:
+                for target in many.targets(order):
+                    specs.append(many.LinearSpec(target, setting.get("c", 1.0), setting.get("penalty", "l2"), fold=fold))
+                    names.append(n)
+        models = many.fit_many(packed, size, specs, max_iter)
+        # Balanced copies of a document have the same features.
+        once = packed.dropDuplicates(["doc_id"]) if "copy" in packed.columns else packed
+        held = stage(many.held_out_scores(once, models, order, names), "held")
+        return _judged(held, placed, tried, scoring)

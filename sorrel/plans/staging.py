@@ -21,6 +21,7 @@ BROADCAST_ROWS = 500_000
 HOT_KEYS = 20_000
 
 _ROOTS: dict[str, str] = {}
+_SCRATCH: list = []
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -44,6 +45,28 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Deletes the tables staged inside its block when the block ends, but for those that are kept."""
+
+    def __init__(self):
+        self.tables, self.kept = [], set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept |= {getattr(t, "_path", None) for t in tables}
+
+    def __enter__(self) -> Scratch:
+        _SCRATCH.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        _SCRATCH.pop()
+        for t in self.tables:
+            if t._path not in self.kept:
+                drop_stage(t)
+            elif _SCRATCH:
+                _SCRATCH[-1].tables.append(t)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     where = getattr(df, "_path", None)
@@ -65,6 +88,8 @@ def stage(df: DataFrame, name: str = "t", schema: T.StructType | None = None) ->
     df.write.parquet(path)
     out = spark.read.schema(schema or df.schema).parquet(path)
     out._staged, out._path = True, path
+    if _SCRATCH:
+        _SCRATCH[-1].tables.append(out)
     return out
 
 

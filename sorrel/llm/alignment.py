@@ -101,7 +101,9 @@ class Tokens:
             if any(re.search("[^▁]▁", p) for p in names.values()):
                 raise ValueError(f"{path} has pieces with a space inside")
             # No piece goes over the border before a space, so what lies between borders is encoded alone.
-            self.words = IdTable(lambda words: model.encode([w[1:] for w in words], num_threads=1))
+            # The model reads an empty text as nothing at all, so a single space at a text's end has its ids given.
+            space = [model.piece_to_id("▁")]
+            self.words = IdTable(lambda words: [ids or space for ids in model.encode([w[1:] for w in words], num_threads=1)])
             self.cut = SPACED.findall
             byte = re.compile(r"<0x([0-9A-F]{2})>")
             known = {

@@ -72,6 +72,15 @@ def test_tricky_texts(library, part, monkeypatch):
         assert row["n_links"] == len(links) and row["n_groups"] == (groups.count(";") + 1 if groups else 0)
 
 
+@pytest.mark.parametrize("part", [200_000, 4])
+def test_single_space_at_the_end(library, part, monkeypatch):
+    monkeypatch.setattr(alignment, "PART", part)
+    texts = ["a ", "ab  cd ", "the cat sat ", "x  ", "\n "]
+    for text, row in zip(texts, alignment.aligner(vocabulary(A), vocabulary(B)).texts(texts).to_pylist(), strict=True):
+        groups, links = library.aligned(text)
+        assert groups and summary(row) == (groups, Counter(links)), text
+
+
 @given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)))
 def test_shared_cuts(a, b):
     a, b = (np.array(sorted(x | {61})) for x in (a, b))

@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,9 +116,7 @@ class Tokens:
     def encode(self, spaced: list[str]) -> list[np.ndarray]:
         """Ids of texts that start with a space."""
         cut = [self.cut(s) for s in spaced]
-        distinct = list(dict.fromkeys(w for words in cut if words for w in words))
-        row_of = dict(zip(distinct, self.words.rows_of(distinct).tolist(), strict=True))
-        ids, sizes = self.words.gathered(np.fromiter((row_of[w] for words in cut if words for w in words), np.int64))
+        ids, sizes = self.words.gathered(self.words.rows_of(list(chain.from_iterable(filter(None, cut)))))
         ids, ends = ids.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
         out, at = [], 0
         for text, words in zip(spaced, cut, strict=True):
@@ -172,9 +171,13 @@ class Aligner:
         codes[np.arange(len(b)) + last_a[group_b] + 1] = 2 * (self.a.n + b) + ends_group_b
         text, widths = self.written.gathered(codes)
         # Each stretch between neighbouring ends of either side is one overlap.
-        stretches = np.union1d(ends_a, ends_b)
-        part = np.searchsorted(borders, stretches)
-        pair = (part * self.a.n + a[np.searchsorted(ends_a, stretches)]) * self.b.n + b[np.searchsorted(ends_b, stretches)]
+        marked = np.zeros((3, borders[-1] + 1), np.int8)
+        for row, ends in zip(marked, (borders, ends_a, ends_b), strict=True):
+            row[ends] = 1
+        marked = marked[:, marked.any(axis=0)]
+        # Ends before a stretch's own count the parts and tokens before its.
+        part, at_a, at_b = np.cumsum(marked, axis=1, dtype=np.int64) - marked
+        pair = (part * self.a.n + a[at_a]) * self.b.n + b[at_b]
         pair, times = np.unique(pair, return_counts=True)
         links = np.stack((pair // self.b.n % self.a.n, pair % self.b.n, times)).astype(np.int64)
 

@@ -24,6 +24,7 @@ import json
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -77,20 +78,23 @@ class IdTable:
         self.rows = {words[row]: n for n, row in enumerate(keep.tolist())}
         self.ids, self.starts, self.used = ids, np.concatenate(([0], np.cumsum(sizes))), self.used[keep] // 2
 
-    def rows_of(self, distinct: list[str]) -> np.ndarray:
-        """Row of each word, good until the next call; new words get new rows."""
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """Row of each word, which may be repeated, good until the next call; new words get new rows."""
         if len(self.rows) > self.limit:
             self.forget()
-        new = [w for w in distinct if w not in self.rows]
-        if new:
+        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            lacking = [words[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(lacking))
             found = self.encode(new)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
             self.ids = np.concatenate((self.ids, flat))
             self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
-        rows = np.fromiter(map(self.rows.__getitem__, distinct), np.int64, len(distinct))
+            rows[missing] = np.fromiter(map(self.rows.__getitem__, lacking), np.int64, len(lacking))
         self.used[rows] += 1
         return rows
 

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -403,3 +404,24 @@ def test_any_classifier_is_searched_from_a_run(spark, corpus, name, options):
     fitted = pipeline.prepare(settings, name, pipeline.featurize(docs, PLAIN), two)
     for parameter, value in options.items():
         assert fitted.options[parameter] in value if isinstance(value, list) else fitted.options[parameter] == value
+
+
+@pytest.mark.parametrize("metric, p", [("euclidean", 2.0), ("manhattan", 1.0), ("minkowski", 3.0), ("minkowski", 2.5), ("hamming", 2.0)])
+def test_nearest_in_a_block_is_exact(metric, p):
+    rng = np.random.default_rng(3)
+    train, test = rng.normal(size=(90, 6)), rng.normal(size=(40, 6))
+    train[20:40], test[:10], test[10:15] = train[:20], train[20:30], 1e-9 * test[10:15]
+    folds, mine, ids = rng.integers(0, 3, 90), rng.integers(0, 3, 40), rng.permutation(90)
+
+    def flat(rows, side):
+        cells = {"sizes": pa.array([6] * len(rows)), "ids": pa.array(list(range(6)) * len(rows)), "vals": pa.array(rows.ravel())}
+        return {f"{side}_{name}": x for name, x in cells.items()}
+
+    lists = flat(train, "a") | flat(test, "b") | {"a_doc_id": pa.array(ids), "a_fold": pa.array(folds), "b_fold": pa.array(mine)}
+    row, near, distance = (x.to_numpy() for x in neighbours._best(lists, 6, 4, metric, p, True))
+    whole = neighbours._distances(test, train, metric, p)
+    want = [(i, j) for i in range(40) for j in sorted(np.flatnonzero(folds != mine[i]), key=lambda j: (whole[i, j], ids[j]))[:4]]
+    assert list(zip(row, near)) == want and np.allclose(distance, [whole[x] for x in want], rtol=1e-14, atol=0)
+    if rough := neighbours._rough(test, train, metric, p):
+        assert np.abs(rough[0] - whole ** {"euclidean": 2, "manhattan": 1}.get(metric, p)).max() < rough[1] < 1e-2
+    assert (rough is None) == (metric == "hamming" or p == 2.5)

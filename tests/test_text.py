@@ -5,6 +5,7 @@ import json
 import pytest
 
 from sorrel.operators import ngrams, preprocess
+from sorrel.plans import staging
 from sorrel.sources import documents as src
 
 
@@ -64,6 +65,32 @@ def test_annotation_fills_lemma_and_class(spark):
     assert got == [[("dogs", "dog", "N"), ("run", "run", "UNK"), (".", ".", "UNK")], [("dogs", "dog", "N")]]
 
 
+def test_annotation_keeps_repeated_ids_apart_and_writes_no_tokens(spark, monkeypatch):
+    lexicon = spark.createDataFrame([("a", "x", "N(b)"), (None, "y", "Z")], "text string, lemma string, pos string")
+    texts = spark.createDataFrame([(1, "a b. a"), (1, "c"), (None, "a"), (2, ""), (3, None)], "doc_id long, text string")
+
+    def told(df):
+        return sorted(
+            (r["doc_id"] or 0, r["raw"] or "", [[(t["text"], t["lemma"], t["pos"]) for t in s] for s in r["processed"]] if r["processed"] is not None else None)
+            for r in df.collect()
+        )
+
+    written = []
+    monkeypatch.setattr(preprocess, "stage", lambda df, name="t": written.append(name) or staging.stage(df, name))
+    a, point, b, c = ("a", "x", "N"), (".", ".", "UNK"), ("b", "b", "UNK"), ("c", "c", "UNK")
+    found = preprocess.annotate(preprocess.tokenize(texts), lexicon)
+    assert told(found) == [(0, "a", [[a]]), (1, "a b. a", [[a, b, point], [a]]), (1, "c", [[c]]), (2, "", []), (3, "", None)]
+    assert "tokens" not in written and found._by_document
+
+
+def test_partitions_of_documents_grow_with_their_text(spark, monkeypatch):
+    texts = docs(spark, *["abcd" * 10] * 50, None)
+    assert staging.by_document(texts).rdd.getNumPartitions() == 8
+    monkeypatch.setattr(staging, "TEXT_BYTES", 100)
+    parted = staging.by_document(texts)
+    assert parted.rdd.getNumPartitions() == 20 and parted.count() == 51
+
+
 def test_vocabulary_numbers_by_count_then_name(spark):
     features = ngrams.token_ngrams(preprocess.sentence_tokens(docs(spark, "b b a c", "c")), (1,))
     got = [(r["feature"], r["feature_id"]) for r in ngrams.build_vocabulary(features).orderBy("feature_id").collect()]

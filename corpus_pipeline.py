@@ -46,17 +46,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in them replaced by a mask."""
-    text = secrets.redact_column(F.col("text"), secrets.secret_spans(F.col("text")))
+    text = secrets.masked_column(F.col("text"))
     return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and whether they decode to the text again."""
-    coded = docs.select("doc_id", "lang", "source", "text", tokens.encode_column(F.col("text"), vocabulary()).alias("ids"))
-    return coded.select(
-        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-        (tokens.decode_column(F.col("ids"), vocabulary()) == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    coded = docs.select("doc_id", "lang", "source", tokens.round_trip_column(F.col("text"), vocabulary()).alias("_x"))
+    return coded.select("doc_id", "lang", "source", F.size("_x.ids").cast("long").alias("n_tokens"), "_x.ids", "_x.round_trip")
 
 
 STAGES = [

@@ -225,6 +225,24 @@ def decode_column(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
+def round_trip_column(text: Column, path: str) -> Column:
+    """``struct<ids, round_trip>``: token ids, and whether they decode to the text (null: empty) again.
+
+    Both ways are gone by one Python worker of a task, which holds one set of tables.
+    """
+    bounded(SparkSession.active())
+
+    @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
+    def both(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        table, known = word_table(path), PieceTable(pieces(path))
+        for lists, texts in batches:
+            ids = encode_lists(lists, table)
+            same = pc.equal(decode_lists(ids, known), pc.fill_null(texts, ""))
+            yield pa.StructArray.from_arrays([ids, same], ["ids", "round_trip"])
+
+    return both(words(text), text)
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, ids)``, one row per input row."""
     return docs.select(F.col(key), encode_column(F.col(text), path).alias("ids"))

@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sorrel.llm import decontaminate, language, secrets, tokens
 from sorrel.llm.queries import vocabulary
@@ -82,3 +84,16 @@ def test_odd_rows(spark, odd, no_documents):
     kept = {r["doc_id"] for r in corpus_pipeline.known_languages(spark, odd, SF).collect()}
     assert kept.isdisjoint({3, 4, 5, 6}) and {1, 2, 7, 8, None} <= kept
     assert language.UNKNOWN == "und" and secrets.BASE
+
+
+def test_last_stages_use_one_python_worker_a_task(spark, odd):
+    docs = odd.select(*corpus_pipeline.COLUMNS)
+    for step, old in (
+        (corpus_pipeline.masked_secrets, docs.select("doc_id", secrets.redact_column(F.col("text"), secrets.secret_spans(F.col("text"))).alias("text"))),
+        (corpus_pipeline.token_ids, docs.select("doc_id", tokens.encode_column(F.col("text"), vocabulary()).alias("ids"))),
+    ):
+        new = step(spark, docs, SF)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert sum(plan.count(f"{kind} [") for kind in ("ArrowEvalPython", "MapInPandas")) == 1, plan
+        assert sorted(map(str, new.select(*old.columns).collect())) == sorted(map(str, old.collect()))
+    assert all(r["round_trip"] for r in corpus_pipeline.token_ids(spark, docs, SF).collect())

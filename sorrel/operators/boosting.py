@@ -33,6 +33,8 @@ WRITTEN = 10
 LEAST_GAIN = 1e-6
 # Partial sums of a level that the driver adds itself.
 DRIVER_CELLS = 500_000
+# Cells of a dense table of a batch's values or of a level's sums; wider ones are searched and sorted.
+GRID = 8_000_000
 # Rows and bytes of a table that one task goes through.
 SMALL_ROWS, SMALL_BYTES = 20_000, 8 * 1024 * 1024
 CELLS = pa.schema([("cls", pa.int32()), ("node", pa.int32()), ("f", pa.int32()), ("b", pa.int32()), ("g", pa.float64()), ("h", pa.float64())])
@@ -57,27 +59,41 @@ class Tree:
                 getattr(self, name).append(value)
         return at
 
-    def leaves(self, n: int, keys: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-        """Leaf of each of ``n`` rows whose cells have the sorted ``keys`` row * size + column."""
+    def leaves(self, cells: Cells) -> np.ndarray:
+        """Leaf of each row of a batch."""
         column, cut, left = np.array(self.column), np.array(self.cut), np.array(self.left)
-        absent_left, at = np.array(self.absent_left), np.zeros(n, np.int64)
+        absent_left, at = np.array(self.absent_left), np.zeros(cells.n, np.int64)
         while len(rows := np.flatnonzero(column[at] >= 0)):
             node = at[rows]
-            want = rows * size + column[node]
-            place = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
-            given = keys[place] == want if len(keys) else np.zeros(len(rows), bool)
-            low = values[place] < cut[node] if len(keys) else given
-            at[rows] = left[node] + ~np.where(given, low, absent_left[node])
+            given, value = cells.at(rows, column[node])
+            at[rows] = left[node] + ~np.where(given, value < cut[node], absent_left[node])
         return at
 
 
-def _cells(batch: pa.RecordBatch, ids: str, values: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, key and value of every cell of a batch of sparse rows."""
-    lists = batch.column(batch.schema.get_field_index(ids))
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    column = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return row, row * size + column, batch.column(batch.schema.get_field_index(values)).flatten().to_numpy(zero_copy_only=False)
+class Cells:
+    """Row, column and value of the cells of a batch of sparse rows, and a way to look one up."""
+
+    def __init__(self, batch: pa.RecordBatch, size: int):
+        lists = batch.column(batch.schema.get_field_index("ids"))
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        self.n, self.size, self.row = len(sizes), size, np.repeat(np.arange(len(sizes)), sizes)
+        self.column = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.values = batch.column(batch.schema.get_field_index("vals")).flatten().to_numpy(zero_copy_only=False)
+        # Keys are sorted; of a repeated one the first cell counts.
+        self.keys, self.dense = self.row * size + self.column, self.n * size <= GRID
+        if self.dense:
+            self.given, self.grid = np.zeros(self.n * size, bool), np.zeros(self.n * size, self.values.dtype)
+            self.given[self.keys], self.grid[self.keys[::-1]] = True, self.values[::-1]
+
+    def at(self, rows: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each row has a cell in its column, and the value."""
+        want = rows * self.size + column
+        if self.dense:
+            return self.given[want], self.grid[want]
+        if not len(self.keys):
+            return np.zeros(len(want), bool), np.zeros(len(want))
+        place = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        return self.keys[place] == want, self.values[place]
 
 
 def _number_lists(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -85,15 +101,14 @@ def _number_lists(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def sparse_rows(vectors: DataFrame, docs: DataFrame, value: Column) -> DataFrame:
+def sparse_rows(vectors: DataFrame, docs: DataFrame, value: Column, kind: str = "double") -> DataFrame:
     """``docs`` with ``ids`` and ``vals``, the sorted columns and the values of each row's cells."""
     key = ["doc_id", "copy"] if "copy" in docs.columns else ["doc_id"]
     cells = F.array_sort(F.collect_list(F.struct(F.col("feature_id").cast("int").alias("i"), value.alias("v"))))
     rows = docs.join(vectors.groupBy(*key).agg(cells.alias("_p")), key, "left")
-    kind = "array<double>"
     return rows.select(
         *docs.columns, F.coalesce(F.transform("_p", lambda x: x["i"]), F.array().cast("array<int>")).alias("ids"),
-        F.coalesce(F.transform("_p", lambda x: x["v"].cast("double")), F.array().cast(kind)).alias("vals"),
+        F.coalesce(F.transform("_p", lambda x: x["v"].cast(kind)), F.array().cast(f"array<{kind}>")).alias("vals"),
     )
 
 
@@ -121,8 +136,7 @@ class BoostedTrees:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                _, keys, values = _cells(batch, "ids", "vals", size)
-                p = 1 / (1 + np.exp(-_margins(rounds, batch.num_rows, keys, values, size)))
+                p = 1 / (1 + np.exp(-_margins(rounds, Cells(batch, size))))
                 p = np.column_stack((1 - p, p)) if k == 2 else p / p.sum(axis=1, keepdims=True)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k), pa.int32()), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), lists], ["doc_id", "_p"])
@@ -138,12 +152,12 @@ class BoostedTrees:
         return {f: g / whole for f, g in mean.items()} if whole else {}
 
 
-def _margins(rounds: list, n: int, keys: np.ndarray, values: np.ndarray, size: int, start: np.ndarray | None = None) -> np.ndarray:
+def _margins(rounds: list, cells: Cells, start: np.ndarray | None = None) -> np.ndarray:
     width = len(rounds[0]) if rounds else 1
-    out = np.zeros((n, width)) if start is None else start.copy()
+    out = np.zeros((cells.n, width)) if start is None else start.copy()
     for trees in rounds:
         for c, tree in enumerate(trees):
-            out[:, c] += np.array(tree.weight)[tree.leaves(n, keys, values, size)]
+            out[:, c] += np.array(tree.weight)[tree.leaves(cells)]
     return out
 
 
@@ -160,32 +174,45 @@ def level_sums(rows: DataFrame, rounds: list, growing: list[Tree], open_nodes: l
     ``drawn`` is the share of the documents whose ``_u`` lets them take part.
     """
     bins = BINS + 1
+    width = (size + 1) * bins
+    dense = width * sum(map(len, open_nodes)) <= GRID
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {c: [] for c in range(len(growing))}
         for batch in batches:
-            n = batch.num_rows
-            row, keys, values = _cells(batch, "ids", "vals", size)
-            margin = _margins(rounds, n, keys, values, size, _number_lists(batch, "margin"))
+            cells = Cells(batch, size)
+            margin = _margins(rounds, cells, _number_lists(batch, "margin"))
             codes = batch.column(batch.schema.get_field_index("code")).to_numpy(zero_copy_only=False)
             part = batch.column(batch.schema.get_field_index("_u")).to_numpy(zero_copy_only=False) < drawn
+            place = (cells.column + 1) * bins + cells.values.astype(np.int64)
             for c, tree in enumerate(growing):
+                if not open_nodes[c]:
+                    continue
                 y = (codes == (1 if len(growing) == 1 else c)).astype(float)
                 p = 1 / (1 + np.exp(-margin[:, c]))
                 w = np.where(y == 1, weight, 1.0)
                 number = np.full(len(tree.column), -1)
                 number[list(open_nodes[c])] = list(open_nodes[c].values())
-                node = np.where(part, number[tree.leaves(n, keys, values, size)], -1)
+                node = np.where(part, number[tree.leaves(cells)], -1)
                 g, h = (p - y) * w, np.maximum(p * (1 - p), 1e-16) * w
-                own, cell = node >= 0, node[row] >= 0
-                width = (size + 1) * bins
-                at = np.concatenate((node[own] * width, node[row][cell] * width + (keys[cell] % size + 1) * bins + values[cell].astype(np.int64)))
-                sums[c].append(_summed([np.stack((at, np.concatenate((g[own], g[row][cell])), np.concatenate((h[own], h[row][cell]))))]))
+                own, cell = node >= 0, node[cells.row] >= 0
+                row = cells.row[cell]
+                at = np.concatenate((node[own] * width, node[row] * width + place[cell]))
+                g, h = np.concatenate((g[own], g[row])), np.concatenate((h[own], h[row]))
+                if not dense:
+                    sums[c].append(_summed([np.stack((at, g, h))]))
+                    continue
+                most = len(open_nodes[c]) * width
+                if not sums[c]:
+                    sums[c] = [np.zeros(most, bool), np.zeros(most), np.zeros(most)]
+                sums[c][0][at] = True
+                sums[c][1] += np.bincount(at, g, most)
+                sums[c][2] += np.bincount(at, h, most)
         for c, parts in sums.items():
             if parts:
-                key, g, h = _summed(parts)
+                key, g, h = (np.flatnonzero(parts[0]), *(x[parts[0]] for x in parts[1:])) if dense else _summed(parts)
                 key = key.astype(np.int64)
-                columns = [np.full(len(key), c), key // ((size + 1) * bins), key // bins % (size + 1) - 1, key % bins]
+                columns = [np.full(len(key), c), key // width, key // bins % (size + 1) - 1, key % bins]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in columns), pa.array(g), pa.array(h)], schema=CELLS)
 
     return rows.mapInArrow(run, "cls int, node int, f int, b int, g double, h double")
@@ -221,8 +248,8 @@ def split_of(f: np.ndarray, b: np.ndarray, g: np.ndarray, h: np.ndarray, reg_lam
 def best_splits(sums: DataFrame, cells: int, *limits: float) -> list[tuple]:
     """``(cls, node, *split_of)`` of every open node.
 
-    Up to ``DRIVER_CELLS`` partial sums are added on the driver.  More are added by an aggregate, and each node's
-    sums, no more than the model has bins, give its split in a task; one row a node comes back.
+    Up to ``DRIVER_CELLS`` partial sums are added on the driver.  More are shuffled by node, once; a task adds a node's
+    partial sums, no more than the model has bins from every task, and finds its split; one row a node comes back.
     """
     if cells <= DRIVER_CELLS:
         table = sums.toPandas()
@@ -231,9 +258,8 @@ def best_splits(sums: DataFrame, cells: int, *limits: float) -> list[tuple]:
     def best(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(*(int(x) for x in key), *_split_of_group(group, limits))])
 
-    added = sums.groupBy("cls", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     schema = "cls int, node int, gs double, hs double, gain double, f int, b int, absent_left boolean, gl double, hl double"
-    return [tuple(r) for r in added.groupBy("cls", "node").applyInPandas(best, schema).collect()]
+    return [tuple(r) for r in sums.groupBy("cls", "node").applyInPandas(best, schema).collect()]
 
 
 def _split_of_group(group: pd.DataFrame, limits: tuple) -> tuple:
@@ -259,7 +285,7 @@ def fit_boosted(
     )
     code = (F.array_position(F.array(*map(F.lit, order)), F.col("label")) - 1).cast("int")
     keyed = labels.withColumn("code", code).withColumn("margin", F.array_repeat(F.lit(0.0), k))
-    rows = stage(sparse_rows(binned, keyed, F.col("bin")), "boosted")
+    rows = stage(sparse_rows(binned, keyed, F.col("bin"), "smallint"), "boosted")
     small = fits(rows, SMALL_ROWS, SMALL_BYTES)
     width, parts = 1 + sum(map(len, cuts.values())), 1 if small else rows.select(F.spark_partition_id()).distinct().count()
     finished, done, gains = [], [], {}
@@ -320,8 +346,7 @@ def _with_margins(rows: DataFrame, rounds: list, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, keys, values = _cells(batch, "ids", "vals", size)
-            new = _margins(rounds, batch.num_rows, keys, values, size, _number_lists(batch, "margin"))
+            new = _margins(rounds, Cells(batch, size), _number_lists(batch, "margin"))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, new.size + 1, new.shape[1]), pa.int32()), pa.array(new.ravel()))
             yield pa.RecordBatch.from_arrays([lists if i == at else x for i, x in enumerate(batch.columns)], batch.schema.names)
 

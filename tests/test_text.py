@@ -65,7 +65,7 @@ def test_annotation_fills_lemma_and_class(spark):
     assert got == [[("dogs", "dog", "N"), ("run", "run", "UNK"), (".", ".", "UNK")], [("dogs", "dog", "N")]]
 
 
-def test_annotation_keeps_repeated_ids_apart_and_writes_no_tokens(spark, monkeypatch):
+def test_annotation_of_odd_rows_writes_no_tokens(spark, monkeypatch):
     lexicon = spark.createDataFrame([("a", "x", "N(b)"), (None, "y", "Z")], "text string, lemma string, pos string")
     texts = spark.createDataFrame([(1, "a b. a"), (1, "c"), (None, "a"), (2, ""), (3, None)], "doc_id long, text string")
 
@@ -79,8 +79,12 @@ def test_annotation_keeps_repeated_ids_apart_and_writes_no_tokens(spark, monkeyp
     monkeypatch.setattr(preprocess, "stage", lambda df, name="t": written.append(name) or staging.stage(df, name))
     a, point, b, c = ("a", "x", "N"), (".", ".", "UNK"), ("b", "b", "UNK"), ("c", "c", "UNK")
     found = preprocess.annotate(preprocess.tokenize(texts), lexicon)
-    assert told(found) == [(0, "a", [[a]]), (1, "a b. a", [[a, b, point], [a]]), (1, "c", [[c]]), (2, "", []), (3, "", None)]
-    assert "tokens" not in written and found._by_document
+    assert "tokens" not in written
+    shared, plain = [[a, c, b, point], [a]], ("a", None, None)
+    assert told(found) == [(0, "a", [[plain]]), (1, "a b. a", shared), (1, "c", shared), (2, "", []), (3, "", None)]
+    monkeypatch.setattr(preprocess, "fits", lambda df: False)
+    assert told(preprocess.annotate(preprocess.tokenize(texts), lexicon)) == told(found)
+    assert "tokens" in written and found._by_document
 
 
 def test_partitions_of_documents_grow_with_their_text(spark, monkeypatch):

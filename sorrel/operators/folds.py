@@ -6,13 +6,13 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sorrel.operators import naive_bayes as nb
 from sorrel.operators.instances import in_order
 from sorrel.operators.ngrams import KEY
 from sorrel.operators.weights import prune_top_k
-from sorrel.plans.staging import assign_position, skew_join, stage
+from sorrel.plans.staging import assign_position, fits, join_documents, skew_join, stage, stage_by_document
 
 
 def make_folds(docs: DataFrame, n: int = 10, steps: int = 1, start: int = 0, end: int = -1) -> DataFrame:
@@ -48,22 +48,20 @@ class FoldedBayes:
     def __init__(self, features, labels, folds, prune: int | None = 5000, fit_prior: bool = False):
         keyed = labels.select("doc_id", "label").join(folds.select("doc_id", "fold"), "doc_id")
         self.docs = stage(keyed, "folds")
+        self.small = fits(self.docs)
         sizes = self.docs.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()
         self.folds = sorted({r["fold"] for r in sizes if r["fold"] >= 0})
         self.labels = in_order({r["label"] for r in sizes})
         k = len(self.labels)
-        self.rows = stage(features.select("doc_id", *KEY, "value").join(self.docs, "doc_id"), "rows")
-        own = stage(nb.label_counts(self.rows, self.labels, ["fold", *KEY]), "own")
-        sums = F.array(*[F.sum(F.col("counts")[i]) for i in range(k)])
-        whole = F.col("total")
-        per_fold = F.array(*[F.sum(F.when(F.col("fold") == f, whole).otherwise(0.0)) for f in self.folds])
-        corpus = stage(
-            own.groupBy(*KEY).agg(sums.alias("all"), F.sum("df").alias("df"), F.sum(whole).alias("sum"), per_fold.alias("held")),
-            "corpus",
-        )
-        tests = own.filter("fold >= 0").select("fold", *KEY, "df", "total", "counts")
-        left = F.zip_with("all", F.coalesce("counts", nb._array([0.0] * k)), lambda a, c: a - c)
+        self.rows = features.select("doc_id", *KEY, "value")
+        if not getattr(features, "_table", None):
+            self.rows = stage_by_document(join_documents(self.rows, self.docs.select("doc_id"), "left_semi", self.small), "rows")
+        # Labels as codes, which rows compare faster.
+        code = (F.array_position(F.array(*[F.lit(v) for v in self.labels]), F.col("label")) - 1).cast("int")
+        self.coded = self.docs.select("doc_id", "fold", code.alias("label"))
         if prune:
+            own, corpus = self._pruned(prune)
+            left = F.zip_with("all", F.coalesce("counts", nb._array([0.0] * k)), lambda a, c: a - c)
             tops = []
             for i, f in enumerate(self.folds):
                 train = corpus.select(*KEY, "all", "df", (F.col("sum") - F.col("held")[i]).alias("total"))
@@ -71,11 +69,15 @@ class FoldedBayes:
                 tops.append(top.select(F.lit(f).alias("fold"), *KEY))
             kept = stage(reduce(DataFrame.unionByName, tops), "kept")
             # No more than folds x prune rows.
+            tests = own.filter("fold >= 0").select("fold", *KEY, "df", "counts")
             train = kept.join(corpus.select(*KEY, "all"), KEY).join(tests, ["fold", *KEY], "left")
             model = stage(train.select("fold", *KEY, F.coalesce("df", F.lit(0)).alias("df"), left.alias("counts")), "model")
             sums = model.groupBy("fold").agg(F.count("*").alias("v"), *[F.sum(F.col("counts")[i]).alias(f"t{i}") for i in range(k)])
             tokens = {r["fold"]: ([r[f"t{i}"] for i in range(k)], r["v"]) for r in sums.collect()}
         else:
+            own, corpus = self._counted(self.rows)
+            tests = own.filter("fold >= 0").select("fold", *KEY, "df", "total", "counts")
+            left = F.zip_with("all", "counts", lambda a, c: a - c)
             joined = tests.join(corpus.select(*KEY, "all", "sum"), KEY)
             known = F.col("sum") > F.col("total")
             model = stage(joined.filter(known).select("fold", *KEY, "df", left.alias("counts")), "model")
@@ -102,6 +104,47 @@ class FoldedBayes:
         schema = "fold int, tokens array<double>, v double, prior array<double>"
         self.stats = features.sparkSession.createDataFrame(out, schema)
 
+    def _counted(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Counts of features by label: of each fold's own documents, and of the corpus with the folds' shares."""
+        k = len(self.labels)
+        rows = join_documents(rows, self.coded, small=self.small)
+        own = stage(nb.label_counts(rows, list(range(k)), ["fold", *KEY]), "own")
+        sums = F.array(*[F.sum(F.col("counts")[i]) for i in range(k)])
+        whole = F.col("total")
+        held = F.array(*[F.sum(F.when(F.col("fold") == f, whole).otherwise(0.0)) for f in self.folds])
+        corpus = own.groupBy(*KEY).agg(sums.alias("all"), F.sum("df").alias("df"), F.sum(whole).alias("sum"), held.alias("held"))
+        return own, stage(corpus, "corpus")
+
+    def _pruned(self, k: int) -> tuple[DataFrame, DataFrame]:
+        """The counts of all features that can be among the ``k`` most frequent of some fold's train documents.
+
+        Without negative values no feature is more frequent in a part than in the corpus, so the k-th place
+        of a fold among some features bounds its last place from below, and rarer ones need no counts by label.
+        """
+        value = F.col("value")
+        rows = join_documents(self.rows, self.coded.select("doc_id"), small=self.small)
+        totals = rows.groupBy(*KEY).agg(F.sum(value).alias("total"), F.count("*").alias("df"), F.min(value).alias("least"))
+        totals = stage(totals, "totals")
+        first = totals.agg(F.count("*").alias("n"), F.min("least").alias("least")).first()
+        if first["n"] <= 2 * k or first["least"] < 0 or not self.folds:
+            return self._counted(self.rows)
+        near = stage(totals.orderBy(F.col("total").desc()).limit(2 * k), "near")
+        own, corpus = self._counted(skew_join(self.rows, near, KEY, how="left_semi"))
+        parts = F.array(*[F.struct(F.lit(i).alias("i"), (F.col("sum") - F.col("held")[i]).alias("t")) for i in range(len(self.folds))])
+        place = F.row_number().over(Window.partitionBy("i").orderBy(F.col("t").desc()))
+        train = corpus.select(F.explode(parts).alias("_p")).select("_p.*").withColumn("place", place)
+        last = train.filter(F.col("place") == k).agg(F.min("t")).first()[0]
+        # Sums of fractions may differ in their last digits.
+        last -= 1e-9 * abs(last)
+        if near.agg(F.min("total")).first()[0] < last:
+            return own, corpus
+        wider = stage(totals.filter(F.col("total") >= last), "near")
+        return self._counted(skew_join(self.rows, wider, KEY, how="left_semi"))
+
+    def _tests(self) -> DataFrame:
+        """Feature rows of the test documents with their fold."""
+        return join_documents(self.rows, self.docs.filter("fold >= 0").select("doc_id", "fold"), small=self.small)
+
     def _weights(self, alpha: float):
         dens = F.transform("tokens", lambda t: F.log(t + F.lit(alpha) * F.col("v")))
         return F.zip_with("counts", dens, lambda c, d: F.log(c + F.lit(alpha)) - d)
@@ -110,7 +153,7 @@ class FoldedBayes:
         """``(fold, doc_id, label, prob)`` for every test document."""
         side = F.broadcast(self.stats)
         model = self.model.join(side, "fold").select("fold", *KEY, "df", self._weights(alpha).alias("w"))
-        joined = skew_join(self.rows.filter("fold >= 0").drop("label"), stage(model, "nb"), ["fold", *KEY])
+        joined = skew_join(self._tests(), stage(model, "nb"), ["fold", *KEY])
         docs = self.docs.filter("fold >= 0").select("fold", "doc_id").join(side, "fold")
         return nb.label_scores(joined, docs, self.labels, F.col("prior"), ["fold", "doc_id"])
 
@@ -120,7 +163,7 @@ class FoldedBayes:
         side = F.broadcast(self.stats)
         weights = F.flatten(F.array(*[self._weights(a) for a in alphas]))
         model = stage(self.model.join(side, "fold").select("fold", *KEY, "df", weights.alias("w")), "nb")
-        joined = skew_join(self.rows.filter("fold >= 0").drop("label"), model, ["fold", *KEY])
+        joined = skew_join(self._tests(), model, ["fold", *KEY])
         sums = joined.groupBy("fold", "doc_id").agg(
             F.array(*[F.sum(F.col("value") * F.col("w")[i]) for i in range(k * m)]).alias("_s")
         )

@@ -58,6 +58,26 @@ def test_all_folds_at_once_agree_with_one_fit_per_fold(spark, corpus, prune, pri
     assert len(a) == 74 * 3 and a == pytest.approx(b, abs=1e-9)
 
 
+@pytest.mark.parametrize("lone", [0, 60])
+def test_only_features_that_a_fold_can_keep_are_counted_by_label(spark, lone, monkeypatch):
+    """Rare words get no counts by label, unless words of a single fold hold the first places."""
+    rng = random.Random(5)
+    cells = [(d, "t", f"w{w}", float(1 + (w < 8) * 20 + rng.randint(0, 2))) for d in range(30) for w in range(40) if w < 8 or rng.random() < 0.2]
+    cells += [(3 * (i % 10), "t", f"lone{i}", 500.0) for i in range(lone)]
+    f = stage(spark.createDataFrame(cells, "doc_id long, ftype string, feature string, value double"))
+    l = labels(spark, ["a" if i % 2 else "b" for i in range(30)])
+    folds = stage(cv.make_folds(l, 3))
+    counted = []
+    count = nb.label_counts
+    monkeypatch.setattr(nb, "label_counts", lambda rows, *args: counted.append(rows.select("feature").distinct().count()) or count(rows, *args))
+    once = cv.FoldedBayes(f, l, folds, 6).scores()
+    assert counted[0] == 12 and (len(counted) == 1) == (lone == 0)
+    each = cv.cross_validate(f, l, folds, pipeline.trainer(Settings(vectors=Vectors(prune=6))))
+    a = {tuple(r)[:3]: r["prob"] for r in once.select("fold", "doc_id", "label", "prob").collect()}
+    b = {tuple(r)[:3]: r["prob"] for r in each.collect()}
+    assert len(a) == 60 and a == pytest.approx(b, abs=1e-9)
+
+
 def test_a_label_missing_from_a_fold_gets_probability_zero(spark, corpus):
     docs, _ = corpus
     l = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "x").otherwise("y").alias("label"))

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sorrel.operators import ngrams, preprocess
 from sorrel.plans import staging
@@ -95,6 +96,26 @@ def test_partitions_of_documents_grow_with_their_text(spark, monkeypatch):
     assert parted.rdd.getNumPartitions() == 20 and parted.count() == 51
 
 
+def test_word_counts_are_those_of_the_sentences(spark):
+    texts = docs(spark, "A b.b? ...\nc!d\u2028e  A", "x.y", "", None, "\n\n.", "é_1 ½ \U0001f600!!")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    slow = ngrams.token_ngrams(preprocess.sentence_tokens(texts, lowercase=True), (1,))
+    assert rows(ngrams.word_counts(texts, lowercase=True)) == rows(slow)
+
+
+def test_rows_staged_by_document_are_neither_shuffled_nor_sorted_again(spark):
+    texts = spark.createDataFrame([(i if i else None, "a b a c") for i in range(40)] + [(3, "a")], "doc_id long, text string")
+    counts = staging.stage_by_document(ngrams.word_counts(texts))
+    assert sorted(map(tuple, counts.collect()), key=str) == sorted(map(tuple, ngrams.word_counts(texts).collect()), key=str)
+    ids = staging.stage(texts.select("doc_id"))
+    joined = staging.join_documents(counts, ids, small=False).groupBy("doc_id").agg(F.sum("value"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Sort" not in plan
+    assert joined.count() == 39 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    staging.drop_stage(counts)
+    assert not spark.catalog.tableExists(counts._table)
+
+
 def test_vocabulary_numbers_by_count_then_name(spark):
     features = ngrams.token_ngrams(preprocess.sentence_tokens(docs(spark, "b b a c", "c")), (1,))
     got = [(r["feature"], r["feature_id"]) for r in ngrams.build_vocabulary(features).orderBy("feature_id").collect()]

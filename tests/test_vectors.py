@@ -5,6 +5,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import NaiveBayes as MLBayes
 from pyspark.ml.feature import IDF
@@ -233,3 +235,20 @@ def test_broadcasts_are_bound_by_bytes(spark):
     assert staging.fits(few) and not staging.fits(few, rows=9) and not staging.fits(few, size=10_000)
     staged = staging.stage(few)
     assert staging.fits(staged) and not staging.fits(staged, size=10_000) and staging.fits(staged, size=30_000)
+
+
+def test_pairs_of_few_columns_are_added_without_dense_blocks(monkeypatch):
+    rng = random.Random(3)
+    rows = [sorted(rng.sample(range(3000), rng.randint(0, 40))) for _ in range(200)]
+    rows[5] = [7, 7, 9]
+    pdf = pd.DataFrame({"ids": [np.array(r, dtype=np.int64) for r in rows], "vals": [np.array([float(i % 5) for i in r]) for r in rows]})
+    dense = {}
+    for key, cell in fs._products(pdf, 1, 4):
+        dense[key] = np.triu(cell) if key[0] == key[1] else cell
+    monkeypatch.setattr(fs, "_products", lambda *args: pytest.fail("dense blocks"))
+    monkeypatch.setattr(fs, "CHUNK_PAIRS", 5000)
+    found = {}
+    fs._add_products(found, pdf, 1, 4)
+    assert found.keys() <= dense.keys()
+    for key, cell in dense.items():
+        assert np.array_equal(found.get(key, np.zeros_like(cell)), cell)

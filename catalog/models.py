@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import FOLDS, LANG, PREDICTED, QUALITY, SOURCE, bayes, coo, docs, folded_bayes, folds, lang, quality, query, r6, shared, six, source, table, unit, whole, words
 from catalog.vectors import length, vectors
-from sorrel.operators import folds as cv, instances, learners, naive_bayes as nb, neighbours, ordinal, perceptron, weights
+from sorrel.operators import folds as cv, instances, learners, naive_bayes as nb, neighbours, ngrams, ordinal, perceptron, weights
 from sorrel.operators.baseline import random_baseline
 from sorrel.operators.folds import make_folds
 from sorrel.plans import search
@@ -224,8 +224,8 @@ def knn_distance(spark, sf):
 @shared
 def chosen_words(spark, sf):
     """200 most frequent words as numbered columns, all documents."""
-    picked = stage(weights.prune_top_k(words(spark, sf), 200), "picked")
-    return picked, stage(weights.select_features(words(spark, sf), picked), "picked_rows")
+    picked = stage(weights.prune_top_k(ngrams.word_totals(docs(spark, sf), lowercase=True), 200), "picked")
+    return picked, ngrams.chosen_word_counts(docs(spark, sf), picked, lowercase=True)
 
 
 @query("linear_regression")

@@ -37,6 +37,14 @@ def label_inverse(codes: DataFrame, table: DataFrame) -> DataFrame:
     return codes.join(F.broadcast(table), "code")
 
 
+def packed(vectors: DataFrame, key: list[str]) -> DataFrame:
+    """Each document's column numbers in order, ``ids``, and their values, ``vals``; the table's own rows of that form, if it has them."""
+    if getattr(vectors, "_packed", None) is not None and key == ["doc_id"]:
+        return vectors._packed
+    pair = F.array_sort(F.collect_list(F.struct(F.col("feature_id").cast("int").alias("ids"), F.col("value").alias("vals"))))
+    return vectors.groupBy(*key).agg(pair.alias("_p")).select(*key, "_p.ids", "_p.vals")
+
+
 def sparse_instances(vectors: DataFrame, docs: DataFrame, size: int, name: str = "instances") -> DataFrame:
     """One ML vector per row of ``docs``; a document without features is all zero.
 
@@ -44,14 +52,12 @@ def sparse_instances(vectors: DataFrame, docs: DataFrame, size: int, name: str =
     vectors, so no Python process touches them.
     """
     key = ["doc_id", "copy"] if "copy" in docs.columns else ["doc_id"]
-    pair = F.array_sort(F.collect_list(F.struct(F.col("feature_id").cast("int").alias("i"), "value")))
-    rows = vectors.groupBy(*key).agg(pair.alias("_p"))
-    joined = docs.join(rows, key, "left")
+    joined = docs.join(packed(vectors, key), key, "left")
     vector = F.struct(
         F.lit(0).cast("byte").alias("type"),
         F.lit(size).cast("int").alias("size"),
-        F.coalesce(F.transform("_p", lambda x: x["i"]), F.array().cast("array<int>")).alias("indices"),
-        F.coalesce(F.transform("_p", lambda x: x["value"]), F.array().cast("array<double>")).alias("values"),
+        F.coalesce("ids", F.array().cast("array<int>")).alias("indices"),
+        F.coalesce("vals", F.array().cast("array<double>")).alias("values"),
     )
     out = joined.select(*docs.columns, vector.alias("features"))
     fields = [f for f in out.schema.fields if f.name != "features"]

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import classification as mlc, regression as mlr
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import PolynomialExpansion
@@ -27,6 +29,9 @@ from sorrel.plans.staging import stage
 # The settings that a search tries.
 SEARCH = {"logistic_regression": {"c": [0.001, 0.005, 0.01, 0.5, 1, 5, 10, 50, 100, 500, 1000], "penalty": ["l1", "l2"]}}
 
+# Fits that run side by side, each with a cached copy of the train rows.
+PARALLELISM = 4
+
 
 def training_table(vectors: DataFrame, labels: DataFrame, size: int) -> tuple[list, DataFrame]:
     """Label order and the table of labelled vectors with numeric codes."""
@@ -104,10 +109,12 @@ class OneVsRestLearner(Learner):
 
 
 def one_vs_rest(table: DataFrame, labels: list, size: int, fit, **extra) -> OneVsRestLearner:
-    """Fit ``fit(table with a 0/1 code)`` per label, once for two labels."""
+    """Fit ``fit(table with a 0/1 code)`` per label, once for two labels; some labels are fitted side by side, like searched settings."""
     targets = [1] if len(labels) == 2 else range(len(labels))
     table = stage(table, "train")
-    models = [fit(table.withColumn("code", (F.col("code") == float(t)).cast("double"))) for t in targets]
+    coded = [table.withColumn("code", (F.col("code") == float(t)).cast("double")) for t in targets]
+    with ThreadPool(max(1, min(PARALLELISM, len(coded)))) as pool:
+        models = pool.map(inheritable_thread_target(table.sparkSession)(fit), coded, 1)
     return OneVsRestLearner(None, labels, size, models=models, **extra)
 
 

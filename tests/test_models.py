@@ -2,6 +2,7 @@
 
 import math
 import random
+import threading
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,18 @@ def test_every_classifier_learns_the_corpus(spark, corpus):
         assert total[0] == pytest.approx(1.0) and total[1] == pytest.approx(1.0)
 
 
+def test_labels_are_fitted_side_by_side(spark):
+    table = spark.createDataFrame([(i, float(i % 3)) for i in range(9)], "doc_id long, code double")
+    together = threading.Barrier(3)
+
+    def fit(rows):
+        together.wait(timeout=60)
+        return sorted(r["doc_id"] for r in rows.filter("code = 1.0").collect())
+
+    assert learners.one_vs_rest(table, ["a", "b", "c"], 1, fit).models == [[0, 3, 6], [1, 4, 7], [2, 5, 8]]
+    assert learners.one_vs_rest(table, [], 1, fit).models == []
+
+
 def test_class_weights(spark):
     assert learners.class_weights(labels(spark, "aaab")) == {"a": pytest.approx(4 / 6), "b": 2.0}
     assert learners.class_weights(labels(spark, "ab"), {"a": 5}) == {"a": 5.0, "b": 1.0}

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sorrel.operators import ngrams, preprocess
+from catalog import base, models
+from sorrel.operators import instances, ngrams, preprocess, weights
 from sorrel.plans import staging
 from sorrel.sources import documents as src
 
@@ -156,3 +157,33 @@ def test_unreadable_numbers_and_wide_lines_are_errors(spark, tmp_path):
     assert got == {(0, "c0"): 1.0, (0, "c1"): 2.0, (1, "c0"): 3.0, (1, "c1"): 4.0, (1, "c2"): 5.0, (2, "c2"): 7.0}
     with pytest.raises(ValueError, match="3 cells"):
         src.read_feature_csv(spark, str(tmp_path / "wide.csv"), ";", ["a", "b"])
+
+
+ODD = [
+    (1, "The cat, the CAT. sat\ton\nthe mat"), (2, None), (3, ""), (4, " \n"), (None, "the cat"), (None, "the dog, dog"),
+    (5, "the cat"), (5, "cat cat ."), (5, None), (6, "dog"), (7, "\U0001f600 \u00c9t\u00e9 \u00e9t\u00e9 the"),
+]
+
+
+@pytest.mark.parametrize("case", ["odd", "no_repeats", "empty"])
+@pytest.mark.parametrize("k", [1, 4, 50])
+def test_chosen_words_are_those_of_the_word_table(spark, case, k):
+    own = {"odd": ODD, "no_repeats": ODD[:5] + ODD[9:], "empty": []}[case]
+    texts = spark.createDataFrame(own, "doc_id long, text string")
+    table = ngrams.word_counts(texts, lowercase=True)
+    chosen, picked = weights.prune_top_k(table, k), weights.prune_top_k(ngrams.word_totals(texts, lowercase=True), k)
+    cells = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert cells(picked) == cells(chosen.select(*picked.columns))
+    rows, want = ngrams.chosen_word_counts(texts, picked, lowercase=True), weights.select_features(table, chosen)
+    assert rows.dtypes == want.dtypes and cells(rows) == cells(want)
+    every = spark.createDataFrame([(i,) for i in [1, 2, 5, 5, 8, None]], "doc_id long")
+    vectors = [cells(instances.sparse_instances(v, every, k)) for v in (rows, want)]
+    assert vectors[0] == vectors[1] and len(vectors[0]) == 6
+
+
+def test_chosen_words_need_no_word_table_and_no_second_shuffle(spark, tmp_path):
+    spark.createDataFrame(ODD, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    _, rows = models.chosen_words(spark, str(tmp_path))
+    assert ("words", spark.sparkContext.applicationId, str(tmp_path)) not in base._SHARED
+    for df in (instances.packed(rows, ["doc_id"]), rows.groupBy("doc_id").count()):
+        assert "hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()

@@ -1,7 +1,9 @@
 """Tokens, n-grams and vocabularies on hand-made documents."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,48 @@ def test_minimum_count_keeps_the_limit_itself(spark):
     assert {f for _, f in grams(spark, ["x x y", "x y z"], (1,), min_count=2)} == {"x", "y"}
 
 
+def staged_columns(spark, scratch):
+    return [set(spark.read.parquet(t._path).columns) for t in scratch.tables]
+
+
+def test_ngrams_below_the_minimum_are_not_written(spark):
+    with staging.Scratch() as scratch:
+        found = ngrams.token_ngrams(preprocess.sentence_tokens(docs(spark, "a b c d. a b c", "a b x", "b c d")), (1, 2, 3), min_count=2)
+        got = counts(found)
+        assert got == {
+            (0, "a"): 2, (0, "b"): 2, (0, "c"): 2, (0, "d"): 1, (0, "a b"): 2, (0, "b c"): 2, (0, "c d"): 1, (0, "a b c"): 2, (0, "b c d"): 1,
+            (1, "a"): 1, (1, "b"): 1, (1, "a b"): 1, (2, "b"): 1, (2, "c"): 1, (2, "d"): 1, (2, "b c"): 1, (2, "c d"): 1, (2, "b c d"): 1,
+        }
+        assert not any("feature" in c or "value" in c for c in staged_columns(spark, scratch))
+
+
+@pytest.mark.parametrize("n_list, min_count", [((1, 2, 3), 2), ((4, 2), 2)])
+def test_counted_ngrams_agree_with_the_plain_way(spark, n_list, min_count, monkeypatch):
+    """Ids that come twice or are missing, words with spaces, empty and missing words, slices, full filters and small chunks."""
+    from sorrel.operators import frequent
+
+    rng = random.Random(5)
+    words = lambda odd: [[rng.choice(["a", "b", "ä", "c", "😀"] + ["a b", "", None] * odd) for _ in range(rng.randrange(7))] for _ in range(rng.randrange(5))]
+    for odd in (0, 1):
+        rows = [(None if i % 9 == 0 else i // 2 * 2 if i < 10 else i, words(odd)) for i in range(40)] + [(50, None), (51, [])]
+        table = spark.createDataFrame(rows, "doc_id long, processed array<array<string>>")
+        want = ngrams.min_frequency(ngrams.token_ngrams(table, n_list), min_count)
+        for setting in ({}, {"CHUNK": 5, "HELD": 8, "LOOKED_UP": 4, "MOST_BITS": 3}):
+            with monkeypatch.context() as m:
+                for name, value in setting.items():
+                    m.setattr(frequent, name, value)
+                got = ngrams.token_ngrams(table, n_list, min_count)
+                assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_ngrams_with_one_hash_stay_apart():
+    from sorrel.operators import frequent
+
+    codes, first = frequent._grouped(np.array([7, 7, 8, 7]), np.array([1, 2, 1, 1]))
+    assert codes[0] == codes[3] != codes[1] and len(first) == 3 and sorted(first) == [0, 1, 2]
+    assert frequent._sorted(np.array([9, 7, 7]), np.array([1, 2, 1]))[2] == 2
+
+
 def test_char_ngrams_cover_spaces_and_skip_short_texts(spark):
     found = counts(ngrams.char_ngrams(docs(spark, "a b", "x", "", "ñ😀ñ"), (2,)))
     assert found == {(0, "a "): 1, (0, " b"): 1, (3, "ñ😀"): 1, (3, "😀ñ"): 1}

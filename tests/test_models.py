@@ -458,3 +458,29 @@ def test_nearest_in_a_block_is_exact(metric, p):
     if rough := neighbours._rough(test, train, metric, p):
         assert np.abs(rough[0] - whole ** {"euclidean": 2, "manhattan": 1}.get(metric, p)).max() < rough[1] < 1e-2
     assert (rough is None) == (metric == "hamming" or p == 2.5)
+
+
+@pytest.mark.parametrize("metric, p", [("euclidean", 2.0), ("manhattan", 1.0), ("minkowski", 3.0), ("minkowski", 2.5), ("hamming", 2.0)])
+def test_nearest_over_blocks_is_exact(metric, p):
+    """Train blocks one after the other, with ties, a block of one fold alone and fewer rows than ``k``."""
+    rng = np.random.default_rng(4)
+    train, test = rng.normal(size=(700, 6)), rng.normal(size=(600, 6))
+    train[300:340], test[:20], test[20:30] = train[:40], train[20:40], 1e-9 * test[20:30]
+    folds, mine, ids = rng.integers(0, 3, 700), rng.integers(0, 3, 600), rng.permutation(700)
+    folds[:2] = 1
+    best = neighbours._Best(pa.nulls(600, pa.int64()), 4)
+    for low, high in ((0, 2), (2, 250), (250, 690), (690, 700)):
+        best.meet(test, train[low:high], mine, folds[low:high], ids[low:high], low, metric, p)
+    whole = neighbours._distances(test, train, metric, p)
+    want = [(i, j) for i in range(600) for j in sorted(np.flatnonzero(folds != mine[i]), key=lambda j: (whole[i, j], ids[j]))[:4]]
+    assert list(zip(best.row, best.place)) == want and np.allclose(best.distance, [whole[x] for x in want], rtol=1e-14, atol=0)
+
+
+def test_blocks_are_not_copied_for_each_other(spark):
+    rows = spark.createDataFrame([(i, 0, float(i * i)) for i in range(40)], "doc_id long, feature_id int, value double")
+    l = labels(spark, ["a"] * 40)
+    got = neighbours.nearest(rows, l, rows, l.select("doc_id"), 1, 2, train_block=4, test_block=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    # Each row's nearest of all ten train blocks, not of each.
+    assert got.count() == 80 and got.filter("place = 1 AND neighbour <> doc_id").count() == 0

@@ -133,6 +133,21 @@ def test_annotation_of_odd_rows_writes_no_tokens(spark, monkeypatch):
     assert "tokens" in written and found._by_document
 
 
+def test_annotation_needs_no_row_for_a_token(spark):
+    lexicon = spark.createDataFrame([("a", "x", "N(b)"), ("c", None, "V"), ("d", "e", None), (None, "y", "Z")], "text string, lemma string, pos string")
+    token = "struct<text:string,lemma:string,pos:string>"
+    sents = [[("a", None, None), (None, "q", "r")], [], [("c", None, None), ("d", None, None)], [("a", None, None)]]
+    rows = [(1, "s", sents), (2, "t", [[]]), (3, "u", []), (4, None, None), (5, "v", [[("b", None, None)]]), (6, "w", [None, [("a", None, None)]])]
+    table = spark.createDataFrame(rows, f"doc_id long, raw string, processed array<array<{token}>>")
+    found = preprocess.annotate(table, lexicon)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and found._by_document
+    entries = lexicon.groupBy("text").agg(F.min(F.struct("lemma", "pos")).alias("_e"))
+    entries = entries.select("text", F.col("_e.lemma").alias("lemma"), F.substring_index("_e.pos", "(", 1).alias("pos"))
+    want = preprocess._looked_up(table, entries)
+    assert sorted(found.collect(), key=str) == sorted(want.collect(), key=str) and found.dtypes == want.dtypes
+
+
 def test_partitions_of_documents_grow_with_their_text(spark, monkeypatch):
     texts = docs(spark, *["abcd" * 10] * 50, None)
     assert staging.by_document(texts).rdd.getNumPartitions() == 8

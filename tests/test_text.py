@@ -66,6 +66,13 @@ def test_ngrams_below_the_minimum_are_not_written(spark):
         assert not any("feature" in c or "value" in c for c in staged_columns(spark, scratch))
 
 
+def test_pairs_that_only_choose_longer_runs_are_not_returned(spark):
+    with staging.Scratch() as scratch:
+        found = grams(spark, ["a b c. a b c", "a b x. b c", "x"], (3, 1), min_count=2)
+        assert found == {(0, "a"): 2, (0, "b"): 2, (0, "c"): 2, (0, "."): 1, (0, "a b c"): 2, (1, "."): 1, (1, "a"): 1, (1, "b"): 2, (1, "c"): 1, (1, "x"): 1, (2, "x"): 1}
+        assert not any("feature" in c or "value" in c for c in staged_columns(spark, scratch))
+
+
 @pytest.mark.parametrize("n_list, min_count", [((1, 2, 3), 2), ((4, 2), 2)])
 def test_counted_ngrams_agree_with_the_plain_way(spark, n_list, min_count, monkeypatch):
     """Ids that come twice or are missing, words with spaces, empty and missing words, slices, full filters and small chunks."""
